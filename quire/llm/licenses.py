@@ -89,8 +89,9 @@ def matches(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     spark = docs.sparkSession
     w = F.col("__words")
     split = docs.select("doc_id", F.xxhash64("text").alias("version"), F.coalesce(words(F.col("text")), F.array()).alias("__words"))
-    places = F.when(F.size(w) >= K, F.sequence(F.lit(1), F.size(w) - (K - 1))).otherwise(F.array().cast("array<int>"))
-    grams = F.transform(places, lambda i: F.array_join(F.slice(w, i, K), " "))
+    places = F.when(F.size(w) >= K, F.sequence(F.lit(0), F.size(w) - K)).otherwise(F.array().cast("array<int>"))
+    # Words one by one: slice() would copy the whole array for each gram.
+    grams = F.transform(places, lambda i: F.concat_ws(" ", *(F.get(w, i + j) for j in range(K))))
     rolled = split.select(
         "doc_id",
         "version",

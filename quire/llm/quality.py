@@ -75,7 +75,7 @@ def counted(docs: DataFrame) -> DataFrame:
         words(F.col("text")).alias("__words"),
         F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__lines"),
     )
-    positions = F.when(F.size(w) >= WINDOW, F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)))
+    positions = F.when(F.size(w) >= WINDOW, F.sequence(F.lit(0), F.size(w) - WINDOW))
     with_grams = with_words.select(
         "doc_id",
         "text",
@@ -89,7 +89,8 @@ def counted(docs: DataFrame) -> DataFrame:
         F.size(F.filter(w, lambda x: x.isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
         F.size(F.filter(lines, lambda x: x.rlike(r"^\s*[-*•]"))).cast("long").alias("n_bullet_lines"),
         F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|…)\s*$"))).cast("long").alias("n_ellipsis_lines"),
-        F.transform(positions, lambda i: F.xxhash64(F.slice(w, i, WINDOW))).alias("__grams"),
+        # Words one by one: slice() would copy the whole array for each window.
+        F.transform(positions, lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(WINDOW)))).alias("__grams"),
     )
     counts = [c for c in with_grams.columns if c != "__grams"]
     at = F.col("__sorted")
