@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from quire.llm.chat import formatted
 from quire.llm.common import documents
 from quire.llm.decontaminate import contamination
-from quire.llm.licenses import DRIFT, LEAST, SELF, STRETCH, TEMPLATES, licenses
+from quire.llm.langid import fit, predicted
+from quire.llm.licenses import DRIFT, LEAST, STRETCH, TEMPLATES, licenses
 from quire.llm.mixing import mixed_sizes
 from quire.llm.neardup import near_duplicates
 from quire.llm.quality import METRICS, RULES, STOP_WORDS, quality
+from quire.llm.secrets import secret_findings
+from quire.llm.tokens import token_digests
+from quire.llm.warc import archived
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +30,25 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return predicted(docs, fit(docs))
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(documents(spark, sf_dir), tokenizer_path())
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_findings(documents(spark, sf_dir))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses(documents(spark, sf_dir))
 
@@ -34,6 +57,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sizes(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formatted(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def _broken(sql_metrics=METRICS) -> str:
     parts = []
     for r in RULES:
@@ -178,8 +209,41 @@ SQL = {
                (size * least(3, copies + CASE WHEN copies < 3 AND (edge IS NULL OR h < edge OR (h = edge AND 2 * (need - (upto - tied)) >= tied)) THEN 1 ELSE 0 END))::BIGINT AS taken
         FROM e
     """,
+    "op9_warc": """
+        WITH p AS (
+            SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+        ), g AS (
+            SELECT *, octet_length(payload) AS n, max(page_id) OVER (PARTITION BY payload) AS first FROM p
+        )
+        SELECT page_id, n::BIGINT AS payload_bytes, sha1(payload) AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> first THEN first END AS refers_to
+        FROM g
+    """,
+    "op10_chat_format": r"""
+        WITH t AS (
+            SELECT DISTINCT conv_id, turn, role, text FROM conversations
+        ), c AS (
+            SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS l FROM t GROUP BY conv_id
+        ), k AS (
+            SELECT min(conv_id) AS conv_id, l FROM c GROUP BY l
+        ), p AS (
+            SELECT DISTINCT l[:i] AS l FROM (SELECT l, unnest(range(1, len(l))) AS i FROM k)
+        ), m AS (
+            SELECT conv_id, len(l) AS n_turns FROM k ANTI JOIN p ON k.l = p.l
+        )
+        SELECT t.conv_id, n_turns::BIGINT AS n_turns, turn, role, coalesce(role IN ('assistant'), false) AS trained,
+               '<|im_start|>' || regexp_replace(coalesce(role, 'unknown'), '[\s<|>]+', '_', 'g') || chr(10)
+               || replace(replace(coalesce(text, ''), '<|im_start|>', '<| im_start |>'), '<|im_end|>', '<| im_end |>')
+               || '<|im_end|>' || chr(10) AS rendered
+        FROM t JOIN m ON t.conv_id = m.conv_id
+    """,
 }
 
 QUERIES = {
-    f.__name__: f for f in (op1_near_dedup, op2_quality_rules, op3_decontamination, op7_license_scan, op8_mixing)
-}
+    f.__name__: f
+    for f in (
+        op1_near_dedup, op2_quality_rules, op3_decontamination, op4_language_id, op5_token_output,
+        op6_secret_scan, op7_license_scan, op8_mixing, op9_warc, op10_chat_format,
+    )
+}
