@@ -23,33 +23,43 @@ from quire.llm.simple8b import Reader, Writer
 
 END = 0
 #: Pieces whose ids a worker remembers: the first ones it meets, among which are the frequent ones.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 
 _tokenizers: dict[str, PieceIds] = {}
 
 
 class PieceIds(dict):
-    """Ids (as bytes of little-endian 32-bit numbers) of pieces of text between single spaces.
+    """Ids (as bytes of little-endian 32-bit numbers) of pieces of text that stand behind one white space.
 
-    The tokenizer splits a text at such a space, which it gives to the piece behind it, before it merges bytes:
-    so the ids of a text are those of its first piece, then those of each other piece with a space before it.
-    A piece that is empty or has white space at an end gets None: there the rule doesn't hold.
+    The tokenizer splits a text in front of a single space, and around a single newline, before it merges bytes:
+    so the ids of a text are those of its first piece, then those of each other piece with the space before it.
+    It also splits between letters and marks like a comma. A piece that is empty or has white space at an end
+    gets None: there the rule doesn't hold.
     """
 
-    def __init__(self, path: str):
-        super().__init__()
-        from tokenizers import Tokenizer
+    #: Marks that are split from the letters before them; all letters under this one are letters to everyone.
+    MARKS, LETTERS = ".,;:!?", "\u0250"
 
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, tokenizer, lead: str = " "):
+        super().__init__()
+        self.tokenizer, self.lead = tokenizer, lead
+        self.marks = {x: self.whole(x) for x in self.MARKS}
+        self.lines = PieceIds(tokenizer, "\n") if lead == " " else self
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes | None:
         if not piece or piece[0].isspace() or piece[-1].isspace():
-            found = None
-        else:
-            found = self.whole(" " + piece)
+            return None
+        if "\n" in piece:
+            left, right = piece.split("\n", 1)
+            left, right = self[left], self.lines[right]
+            return self.whole(self.lead + piece) if left is None or right is None else left + right
+        word = piece[:-1]
+        if piece[-1] in self.marks and word.isalpha() and max(word) < self.LETTERS:
+            return self[word] + self.marks[piece[-1]]
+        found = self.whole(self.lead + piece)
         if len(self) < REMEMBERED:
             self[piece] = found
         return found
@@ -68,7 +78,9 @@ class PieceIds(dict):
 
 def _piece_ids(path: str) -> PieceIds:
     if path not in _tokenizers:
-        _tokenizers[path] = PieceIds(path)
+        from tokenizers import Tokenizer
+
+        _tokenizers[path] = PieceIds(Tokenizer.from_file(path))
     return _tokenizers[path]
 
 
