@@ -13,6 +13,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -23,7 +24,9 @@ from quire.llm.simple8b import Reader, Writer
 
 END = 0
 #: Pieces whose ids a worker remembers: the first ones it meets, among which are the frequent ones.
-REMEMBERED = 800_000
+REMEMBERED = 1_500_000
+#: Texts whose pieces are looked up together.
+TEXTS = 4096
 
 _tokenizers: dict[str, PieceIds] = {}
 
@@ -64,16 +67,37 @@ class PieceIds(dict):
             self[piece] = found
         return found
 
-    def of(self, text: str) -> np.ndarray:
-        """Ids of a whole text."""
-        first, *others = text.split(" ")
-        found = None
-        if first and not first[-1].isspace():
-            try:
-                found = self.whole(first) + b"".join(map(self.__getitem__, others))
-            except TypeError:  # a piece without ids of its own
-                pass
-        return np.frombuffer(self.whole(text) if found is None else found, "<u4")
+    def first(self, text: str) -> bytes:
+        """Ids of a text's first piece, which has no space before it."""
+        return self.whole(text.partition(" ")[0])
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has.
+
+        Pieces are split and told apart by Arrow; each different piece is looked up once, and ids are gathered.
+        """
+        pieces = pc.split_pattern(texts, " ")
+        starts = pieces.offsets.to_numpy()[:-1] - pieces.offsets[0].as_py()
+        coded = pieces.flatten().dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.__getitem__, known))
+        none = np.fromiter((x is None for x in found), bool, len(found))[code]
+        # A first piece counts as such: it may only have no white space at its end.
+        none[starts] = [not (x := known[c]) or x[-1].isspace() for c in code[starts].tolist()]
+        odd = np.logical_or.reduceat(none, starts) if len(starts) else none
+        code[starts] = len(known) + np.arange(len(starts))
+        found = [x or b"" for x in found]
+        for i, other in enumerate(odd.tolist()):
+            found.append(self.whole(texts[i].as_py()) if other else self.first(texts[i].as_py()))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        size = sizes[code]
+        if odd.any():
+            size[np.repeat(odd, np.diff(np.append(starts, len(code)))) & (code < len(known))] = 0
+        places = np.cumsum(sizes) - sizes
+        take = np.repeat(places[code] - (np.cumsum(size) - size), size)
+        take += np.arange(len(take))
+        return np.frombuffer(b"".join(found), "<u4")[take], np.add.reduceat(size, starts) if len(starts) else size
 
 
 def _piece_ids(path: str) -> PieceIds:
@@ -99,13 +123,16 @@ def _write(folder: str, tokenizer: str):
         temporary = f"{root}/.attempt-{uuid.uuid4().hex}"
         writer, stream = None, None
         end = np.array([END], np.uint32)
-        for batch in rows(batches):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if writer is None:
-                    fs.create_dir(root, recursive=True)
-                    stream = fs.open_output_stream(temporary)
-                    writer = Writer(stream)
-                writer.add(doc_id, np.concatenate((ids_of.of(text or ""), end)))
+        for batch in rows(batches, TEXTS):
+            if writer is None:
+                fs.create_dir(root, recursive=True)
+                stream = fs.open_output_stream(temporary)
+                writer = Writer(stream)
+            ids, lengths = ids_of.of(pc.fill_null(batch.column(1), ""))
+            at = 0
+            for doc_id, n in zip(batch.column(0).to_pylist(), lengths.tolist(), strict=True):
+                writer.add(doc_id, np.concatenate((ids[at : at + n], end)))
+                at += n
         if writer is not None:
             writer.close()
             stream.close()
