@@ -11,8 +11,8 @@ Texts are linked at a Jaccard similarity of 0.85 or more, and linked texts share
 4. Links are joined to components by alternating large-star and small-star.
 5. Members of a bucket that still lie in different components were perhaps never compared. For these texts the
    rest is found exactly, by prefixes: with the shingles of all sets in one order, the rarest first, two sets of
-   a similarity of 0.85 share one of their first 15 percent. Texts of different components that share such a
-   shingle are compared. A large group of near copies, which its hub has pulled together, costs no pairs, and
+   a similarity of 0.85 share one of their first 15 percent, early enough to share all that they must from
+   there on. Texts of different components that share such a shingle are compared. A large group of near copies, which its hub has pulled together, costs no pairs, and
    what keeps a text out of it are shingles of its own, which come first and are shared with nothing.
 
 At 0.85, `BANDS` bands of `ROWS` minima miss a pair once in over a million.
@@ -136,7 +136,7 @@ def _prefixes(sketch):
     def cut(batches):
         hashes, frequent = WordHashes(), sketch.value
         for batch in rows(batches):
-            ids, prefixes = batch.column(0), []
+            ids, sizes, prefixes = batch.column(0), [], []
             for data in batch.column(1).to_pylist():
                 full = shingle_set(space_words(data or b""), hashes, SHINGLE)
                 # Sets of n and m >= PERCENT/100 n shingles share PERCENT/100 n at least, so of the first
@@ -144,7 +144,9 @@ def _prefixes(sketch):
                 least = -(-PERCENT * len(full) // 100)
                 order = np.lexsort((full, frequent[full >> np.uint64(64 - SKETCH_BITS)]))
                 prefixes.append(full[order[: len(full) - least + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(prefixes, pa.list_(pa.int64()))], ["id", "prefix"])
+                sizes.append(len(full))
+            columns = [ids, pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "size", "prefix"])
 
     return cut
 
@@ -157,12 +159,21 @@ def _rest(open_: DataFrame, texts: DataFrame) -> DataFrame:
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     for counter, n in counted.collect():
         sketch[counter] = n
-    cut = own.mapInArrow(_prefixes(spark.sparkContext.broadcast(sketch)), "id long, prefix array<long>")
-    held = stored(cut.join(open_, "id").select("id", "label", F.explode("prefix").alias("shingle")), "prefixes")
-    shared = held.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
-    held = held.join(shared.select("shingle"), "shingle", "left_semi")
-    other = held.select("shingle", F.col("id").alias("b"), F.col("label").alias("label_b"))
-    return held.withColumnRenamed("id", "a").join(other, "shingle").filter("a > b AND label <> label_b").select("a", "b")
+    cut = own.mapInArrow(_prefixes(spark.sparkContext.broadcast(sketch)), "id long, size long, prefix array<long>")
+    held = cut.join(open_, "id").select("id", "label", "size", F.posexplode("prefix").alias("at", "shingle"))
+    held = stored(held, "prefixes")
+    # Sets of n and m shingles that are linked share PERCENT (n + m) / (100 + PERCENT) or more, so at the first
+    # shingle that both hold, each has as many left. m is the least size around, or the least that n allows.
+    shared = held.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("size").alias("least"))
+    enough = f"100 * {100 + PERCENT} * (size - at) >= {PERCENT} * (100 * size + greatest(100 * least, {PERCENT} * size))"
+    held = held.join(shared.filter("x <> y").drop("x", "y"), "shingle").filter(enough).drop("least")
+    a, b = (held.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "label", "size", "at"))) for x in "ab")
+    near = (
+        "id_a > id_b AND label_a <> label_b"
+        f" AND 100 * least(size_a, size_b) >= {PERCENT} * greatest(size_a, size_b)"
+        f" AND {100 + PERCENT} * least(size_a - at_a, size_b - at_b) >= {PERCENT} * (size_a + size_b)"
+    )
+    return a.join(b, "shingle").filter(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
 def _settle(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
