@@ -1,4 +1,6 @@
-"""Queries over the synthetic tables, bound to the catalogue as the fixtures describe."""
+"""Queries over the synthetic tables, bound to the catalogue and to images; SQL that gives the same rows."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from quire.queries import catalog, images
+
+QUERIES: dict = catalog.QUERIES | images.QUERIES
+SQL: dict = catalog.SQL | images.SQL
