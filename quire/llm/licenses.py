@@ -24,6 +24,8 @@ class Template(NamedTuple):
     text: str
     #: A base phrase counts where its words stand consecutively, and only there.
     base: bool
+    #: Least share of its 3-grams that an alignment must hold; more for texts that differ in one word.
+    least: float = 0.6
 
 
 # Phrases of the base, and sentences of well-known public licenses in normalised words.
@@ -31,8 +33,8 @@ TEMPLATES = (
     Template("mit", "under the mit license", True),
     Template("apache-2", "apache license version 2", True),
     Template("cc-by-nc", "cc by nc", True),
-    Template("gpl-3", "licensed under the gnu general public license version 3", False),
-    Template("gpl-2", "licensed under the gnu general public license version 2", False),
+    Template("gpl-3", "licensed under the gnu general public license version 3", False, 0.9),
+    Template("gpl-2", "licensed under the gnu general public license version 2", False, 0.9),
     Template("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", False),
     Template("gpl", "under the terms of the gnu general public license as published by the free software foundation", False),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", False),
@@ -44,8 +46,6 @@ TEMPLATES = (
 
 #: Diagonals at most so far apart are one alignment with words put in or left out.
 DRIFT = 3
-#: Least share of a template's 3-grams that an alignment must hold.
-LEAST = 0.6
 #: Most words of an alignment for each word of its template.
 STRETCH = 1.5
 #: Of the row that carries a text itself through the join.
@@ -75,8 +75,8 @@ def template_grams(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
 def _one_template(templates) -> DataFrame:
     spark = SparkSession.active()
     return spark.createDataFrame(
-        [(t, x.label, x.base, len(x.text.split())) for t, x in enumerate(templates)],
-        "template int, label string, base boolean, t_words int",
+        [(t, x.label, x.base, len(x.text.split()), x.least) for t, x in enumerate(templates)],
+        "template int, label string, base boolean, t_words int, least double",
     )
 
 
@@ -135,7 +135,7 @@ def spans(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     merged = (
         diagonals.withColumn("__new", apart.cast("int"))
         .withColumn("__group", F.sum("__new").over(by))
-        .groupBy(*key, "copies", "label", "base", "t_words", "__group")
+        .groupBy(*key, "copies", "label", "base", "t_words", "least", "__group")
         .agg(
             F.min("first").alias("start"),
             (F.max("last") + K - F.min("first")).alias("length"),
@@ -145,7 +145,7 @@ def spans(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     grams = F.col("t_words") - (K - 1)
     score = F.col("held") / grams
     verified = F.when(F.col("base"), F.col("held") == grams).otherwise(
-        (score >= LEAST) & (F.col("length") <= STRETCH * F.col("t_words"))
+        (score >= F.col("least")) & (F.col("length") <= STRETCH * F.col("t_words"))
     )
     return merged.filter((F.col("template") == SELF) | verified).select(
         "doc_id", "version", "n_words", "copies", "label", "base", "start", "length", score.alias("score")

@@ -8,7 +8,7 @@ from quire.llm.chat import formatted
 from quire.llm.common import documents
 from quire.llm.decontaminate import contamination
 from quire.llm.langid import fit, predicted
-from quire.llm.licenses import DRIFT, LEAST, STRETCH, TEMPLATES, licenses
+from quire.llm.licenses import DRIFT, STRETCH, TEMPLATES, licenses
 from quire.llm.mixing import mixed_sizes
 from quire.llm.neardup import near_duplicates
 from quire.llm.quality import METRICS, RULES, STOP_WORDS, quality
@@ -137,9 +137,9 @@ SQL = {
     """,
     "op7_license_scan": rf"""
         WITH tpl AS (
-            SELECT * FROM (VALUES {', '.join(f"({i}, '{t.label}', '{t.text}', {t.base})" for i, t in enumerate(TEMPLATES))}) x(template, label, body, base)
+            SELECT * FROM (VALUES {', '.join(f"({i}, '{t.label}', '{t.text}', {t.base}, {t.least})" for i, t in enumerate(TEMPLATES))}) x(template, label, body, base, least)
         ), tw AS (
-            SELECT template, label, base, string_split(body, ' ') AS w FROM tpl
+            SELECT template, label, base, least, string_split(body, ' ') AS w FROM tpl
         ), tg AS (
             SELECT template, i - 1 AS tplace, array_to_string(w[i:i+2], ' ') AS gram
             FROM (SELECT template, w, unnest(range(1, len(w) - 1)) AS i FROM tw)
@@ -153,7 +153,7 @@ SQL = {
             SELECT doc_id, template, place - tplace AS diagonal, min(place) AS p0, max(place) AS p1, sum(1::BIGINT << tplace)::BIGINT AS mask
             FROM g JOIN tg ON g.gram = tg.gram GROUP BY ALL
         ), apart AS (
-            SELECT x.*, base, label, len(w) AS t_words,
+            SELECT x.*, base, label, least, len(w) AS t_words,
                    base OR lag(diagonal) OVER o IS NULL OR abs(diagonal - lag(diagonal) OVER o) > {DRIFT}
                    OR p0 - lag(p1) OVER o > len(w) AS new
             FROM diagonals x JOIN tw ON x.template = tw.template
@@ -161,11 +161,11 @@ SQL = {
         ), grouped AS (
             SELECT *, sum(new::INT) OVER (PARTITION BY doc_id, template ORDER BY p0, diagonal ROWS UNBOUNDED PRECEDING) AS g FROM apart
         ), merged AS (
-            SELECT doc_id, template, label, base, t_words, min(p0) AS start, max(p1) + 3 - min(p0) AS length, bit_count(bit_or(mask)) AS held
-            FROM grouped GROUP BY doc_id, template, label, base, t_words, g
+            SELECT doc_id, template, label, base, least, t_words, min(p0) AS start, max(p1) + 3 - min(p0) AS length, bit_count(bit_or(mask)) AS held
+            FROM grouped GROUP BY doc_id, template, label, base, least, t_words, g
         ), verified AS (
             SELECT *, held / (t_words - 2) AS score FROM merged
-            WHERE CASE WHEN base THEN held = t_words - 2 ELSE held / (t_words - 2) >= {LEAST} AND length <= {STRETCH} * t_words END
+            WHERE CASE WHEN base THEN held = t_words - 2 ELSE held / (t_words - 2) >= least AND length <= {STRETCH} * t_words END
         ), found AS (
             SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
                    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,

@@ -36,6 +36,9 @@ def encode(values: np.ndarray) -> np.ndarray:
     # For each place, the selector that a word starting there would have: the one that holds most numbers. The
     # widest of the next c numbers comes from those of fewer by one comparison. Zeros fill the last word up.
     width = np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+    if width.max() > 53:  # where floats round
+        high = values >> np.uint64(32)
+        width = np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 32, width).astype(np.uint8)
     longest = SELECTORS[1][0]
     widest = {1: np.concatenate((width, np.zeros(longest, np.uint8)))}
     chosen, count = np.zeros(n, np.int8), 1
