@@ -58,23 +58,30 @@ def key_of(url: str | None) -> str:
 
 
 def planned(pages: DataFrame) -> DataFrame:
-    """page_id, url, key, payload, digest, and refers_to (the response's page_id) of a revisit.
+    """key, page_id, digest, mark, url, payload, refers_to: a row for each page (mark 1), and in front of it, for a
+    revisit, one without payload (mark 0) that has the response's page_id.
 
-    Only payloads that occur twice or more are joined back, by their digest.
+    Only digests are joined. Payloads meet their marks by being dealt and sorted alike, so they are shuffled once.
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     own = pages.select(
+        url_key(F.col("url")).alias("key"),
         F.col("page_id").cast("long"),
+        F.sha1(payload).alias("digest"),
+        F.lit(1).alias("mark"),
         "url",
-        url_key(F.col("url")).alias("key"),
         payload.alias("payload"),
-        F.sha1(payload).alias("digest"),
+        F.lit(None).cast("long").alias("refers_to"),
     )
-    groups = own.filter(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest")
-    groups = groups.agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    joined = own.join(groups, "digest", "left")
-    refers_to = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return joined.select("page_id", "url", "key", "payload", "digest", refers_to.alias("refers_to"))
+    long = own.filter(F.octet_length("payload") >= REVISIT_BYTES).select("key", "page_id", "digest")
+    groups = long.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
+    groups = groups.filter("n > 1 AND refers_to IS NOT NULL").drop("n")
+    revisits = long.join(groups, "digest").filter("NOT page_id <=> refers_to").distinct()
+    marks = stored(revisits, "revisits").select(
+        "key", "page_id", "digest", F.lit(0).alias("mark"), F.lit(None).cast("string").alias("url"),
+        F.lit(None).cast("binary").alias("payload"), "refers_to",
+    )
+    return own.union(marks)
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -173,9 +180,13 @@ def _write(folder: str):
         fs, root = _filesystem(folder)
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         archive = f"{root}/.attempt-{attempt}.warc.gz"
-        stream, index, offset = None, None, 0
+        stream, index, offset, revisit = None, None, 0, (None, None)
         for batch in rows(batches):
-            for page_id, url, key, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, page_id, digest, mark, url, payload, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not mark:
+                    revisit = (key, page_id, digest), first
+                    continue
+                refers_to = revisit[1] if revisit[0] == (key, page_id, digest) else None
                 if stream is None:
                     fs.create_dir(root, recursive=True)
                     stream = fs.open_output_stream(archive, compression=None)
@@ -201,7 +212,7 @@ def _write(folder: str):
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Writes a record for each row of pages (page_id, url, html); returns the manifest."""
     # A host or URL with many captures is split between ranges by page_id.
-    dealt = planned(pages).repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    dealt = planned(pages).repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "digest", "mark")
     dealt.mapInArrow(_write(folder), _MANIFEST).write.parquet(f"{folder}/manifest")
     return pages.sparkSession.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
