@@ -24,9 +24,9 @@ from quire.llm.simple8b import Reader, Writer
 
 END = 0
 #: Pieces whose ids a worker remembers: the first ones it meets, among which are the frequent ones.
-REMEMBERED = 1_500_000
+REMEMBERED = 700_000
 #: Texts whose pieces are looked up together.
-TEXTS = 4096
+TEXTS = 1024
 
 _tokenizers: dict[str, PieceIds] = {}
 
