@@ -48,7 +48,7 @@ def alnum_words(data: bytes) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words; forgets everything when it has grown to `limit` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 250_000):
         super().__init__()
         self.limit = limit
 
@@ -92,6 +92,18 @@ def rows(batches: Iterable[pa.RecordBatch], step: int = 256) -> Iterator[pa.Reco
             yield batch.slice(at, step)
 
 
+#: Rows of an Arrow batch that holds texts. Spark's default of 10,000 takes tens of MB for each batch, on both sides.
+BATCH_ROWS = 1000
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df; from now on the session passes at most BATCH_ROWS rows at a time to Python."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that the cluster names; a temporary one only in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

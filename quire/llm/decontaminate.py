@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import ALNUM_WORD, alnum_words, rows
+from quire.llm.common import ALNUM_WORD, alnum_words, in_small_batches, rows
 
 WINDOW = 13
 #: Characters of benchmark text that one broadcast holds, on average.
@@ -103,6 +103,7 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_chars: int
     items = benchmark.select(F.col("item_id").cast("string"), "text").filter("text IS NOT NULL").distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
+    in_small_batches(docs)
     for block in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
         held = Windows([(x[0] or "", x[1].encode()) for x in sorted(own, key=lambda x: (x[0] or "", x[1]))], window)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import rows
+from quire.llm.common import in_small_batches, rows
 
 ORDERS = 3
 DIMENSION_BITS = 15
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
 
     To the driver come one count for each language, DIMENSIONS frequencies and the bounded sample.
     """
-    known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = in_small_batches(docs).select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     known = known.filter(fold(F.col("doc_id")) != HELD_OUT)
     of_lang = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     langs = sorted(of_lang)
@@ -210,7 +210,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], lang, score], names)
 
     held_out = F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out")
-    own = docs.select(F.col("doc_id").cast("long"), held_out, "text")
+    own = in_small_batches(docs).select(F.col("doc_id").cast("long"), held_out, "text")
     return own.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
@@ -223,4 +223,4 @@ def recognised(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> Dat
             found = [_best(shared.value, x) for x in batch.column(text).to_pylist()]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return in_small_batches(docs).mapInArrow(keep, docs.schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import WordHashes, mixed, rows, shingle_set, space_words, stored
+from quire.llm.common import WordHashes, in_small_batches, mixed, rows, shingle_set, space_words, stored
 from quire.llm.components import connected_components
 
 SHINGLE, BANDS, ROWS = 5, 24, 5
@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     with nothing. Equal sets are linked, repeated rows too. A row without doc_id takes no part in linking:
     its component_id is null and it is kept. No rows give no rows; other columns are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+    docs = in_small_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")))
     signed = stored(docs.mapInArrow(_sign, _SIGNED), "signed")
     known = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
     # Equal sets have equal signatures; any row's will do.

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import rows
+from quire.llm.common import in_small_batches, rows
 from quire.llm.forest import Forest
 
 #: Labelled findings that the forest is trained on at most.
@@ -191,4 +191,4 @@ def secret_findings(docs: DataFrame, forest: Forest | None = None, threshold: fl
             ]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _FINDINGS.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, _FINDINGS)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, _FINDINGS)

@@ -19,12 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import rows, scratch
+from quire.llm.common import in_small_batches, rows, scratch
 from quire.llm.simple8b import Reader, Writer
 
 END = 0
 #: Pieces whose ids a worker remembers: the first ones it meets, among which are the frequent ones.
-REMEMBERED = 700_000
+REMEMBERED = 600_000
 #: Texts whose pieces are looked up together.
 TEXTS = 1024
 
@@ -152,7 +152,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
     Rows go by doc_id, nulls first; rows that repeat a doc_id by their text. Null is the empty text.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col("doc_id").cast("long"), "text")
+    own = in_small_batches(docs).select(F.col("doc_id").cast("long"), "text")
     own = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     own.mapInArrow(_write(folder, tokenizer), _MANIFEST).write.parquet(f"{folder}/manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import rows, scratch, stored
+from quire.llm.common import in_small_batches, rows, scratch, stored
 from quire.llm.tokens import _filesystem
 
 REVISIT_BYTES = 1000
@@ -64,7 +64,7 @@ def planned(pages: DataFrame) -> DataFrame:
     Only digests are joined. Payloads meet their marks by being dealt and sorted alike, so they are shuffled once.
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
-    own = pages.select(
+    own = in_small_batches(pages).select(
         url_key(F.col("url")).alias("key"),
         F.col("page_id").cast("long"),
         F.sha1(payload).alias("digest"),
