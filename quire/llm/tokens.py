@@ -182,7 +182,8 @@ def _read(folder: str):
 
 def read_digests(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document in the files."""
-    files = manifest.select("file", "start").repartition(F.col("file"))
+    # A task for each file: Spark would put so few rows into one.
+    files = manifest.select("file", "start").repartition(max(1, manifest.count()))
     return files.mapInArrow(_read(folder), _DIGEST)
 
 

@@ -273,7 +273,8 @@ def resolved(records: DataFrame) -> DataFrame:
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each record that the index lists."""
     # Stored, as revisits and the responses that they refer to come from the same pass over the archives.
-    files = manifest.select("file").repartition(F.col("file"))
+    # A task for each archive: Spark would put so few rows into one.
+    files = manifest.select("file").repartition(max(1, manifest.count()))
     return resolved(stored(files.mapInArrow(_read(folder), _RECORD), "records"))
 
 
