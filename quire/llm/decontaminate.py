@@ -52,12 +52,24 @@ class Windows:
 
     @staticmethod
     def rolled(ids: np.ndarray, n: int) -> np.ndarray:
-        """A hash of each run of n word numbers."""
-        out = np.zeros(max(0, len(ids) - n + 1), np.uint64)
-        for i in range(n):
-            out = (out + ids[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        """A hash of each run of n word numbers; n at most as many as there are. Runs of 1, 2, 4 and so on are joined."""
+
+        def join(a, b):
+            out = a * np.uint64(0x9E3779B97F4A7C15)
             out ^= out >> np.uint64(29)
-        return out * np.uint64(0xBF58476D1CE4E5B9)
+            out += b
+            out *= np.uint64(0xBF58476D1CE4E5B9)
+            return out
+
+        count, out, done, run, size = len(ids) - n + 1, None, 0, ids, 1
+        while size <= n:
+            if n & size:
+                part = run[done : done + count]
+                out = part if out is None else join(out, part)
+                done += size
+            run = join(run[:-size], run[size:]) if 2 * size <= n else run
+            size *= 2
+        return out * np.uint64(0xD6E8FEB86659FD93)
 
     def scan(self, words: list[bytes]) -> tuple[list[dict], list[str]]:
         """The hit spans of words, disjoint and in order, and the items found."""
