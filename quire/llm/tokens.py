@@ -8,8 +8,10 @@ tells where each file's ids start.
 
 from __future__ import annotations
 
+import sys
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +52,10 @@ class PieceIds(dict):
         self.lines = PieceIds(tokenizer, "\n") if lead == " " else self
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def __missing__(self, piece: str) -> bytes | None:
         if not piece or piece[0].isspace() or piece[-1].isspace():
@@ -60,7 +65,7 @@ class PieceIds(dict):
             left, right = self[left], self.lines[right]
             return self.whole(self.lead + piece) if left is None or right is None else left + right
         word = piece[:-1]
-        if piece[-1] in self.marks and word.isalpha() and max(word) < self.LETTERS:
+        if piece[-1] in self.marks and word.isalpha() and (word.isascii() or max(word) < self.LETTERS):
             return self[word] + self.marks[piece[-1]]
         found = self.whole(self.lead + piece)
         if len(self) < REMEMBERED:
@@ -82,15 +87,19 @@ class PieceIds(dict):
         code = coded.indices.to_numpy().astype(np.int64)
         known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.__getitem__, known))
-        none = np.fromiter((x is None for x in found), bool, len(found))[code]
+        without = [i for i, x in enumerate(found) if x is None]
+        none = np.zeros(len(found), bool)
+        none[without] = True
+        none = none[code]
         # A first piece counts as such: it may only have no white space at its end.
         none[starts] = [not (x := known[c]) or x[-1].isspace() for c in code[starts].tolist()]
         odd = np.logical_or.reduceat(none, starts) if len(starts) else none
         code[starts] = len(known) + np.arange(len(starts))
-        found = [x or b"" for x in found]
+        for i in without:
+            found[i] = b""
         for i, other in enumerate(odd.tolist()):
             found.append(self.whole(texts[i].as_py()) if other else self.first(texts[i].as_py()))
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        sizes = np.array([*map(len, found)], np.int64) // 4
         size = sizes[code]
         if odd.any():
             size[np.repeat(odd, np.diff(np.append(starts, len(code)))) & (code < len(known))] = 0
