@@ -48,7 +48,7 @@ def encode(values: np.ndarray) -> np.ndarray:
             more = min(2 * count, wanted)
             widest[more] = np.maximum(widest[count][: n + longest - more + 1], widest[count][more - count :][: n + longest - more + 1])
             count = more
-        np.putmask(chosen, widest[count][:n] <= bits, s)
+        np.copyto(chosen, s, where=widest[count][:n] <= bits)
     steps, counts, starts, i = chosen.tobytes(), [c for c, _ in SELECTORS], [], 0
     while i < n:
         starts.append(i)

@@ -25,8 +25,10 @@ from quire.llm.common import in_small_batches, rows, scratch
 from quire.llm.simple8b import Reader, Writer
 
 END = 0
-#: Pieces whose ids a worker remembers: the first ones it meets, among which are the frequent ones.
-REMEMBERED = 600_000
+#: Pieces whose ids a worker remembers, which are ones that it has met in two lookups; what fits a table of 2^19.
+REMEMBERED = 349_000
+#: Slots, of a byte each, that tell which pieces were met once.
+MET = 1 << 22
 #: Texts whose pieces are looked up together.
 TEXTS = 1024
 
@@ -48,6 +50,7 @@ class PieceIds(dict):
     def __init__(self, tokenizer, lead: str = " "):
         super().__init__()
         self.tokenizer, self.lead = tokenizer, lead
+        self.met, self.n_met = bytearray(MET), 0
         self.marks = {x: self.whole(x) for x in self.MARKS}
         self.lines = PieceIds(tokenizer, "\n") if lead == " " else self
 
@@ -68,7 +71,13 @@ class PieceIds(dict):
         if piece[-1] in self.marks and word.isalpha() and (word.isascii() or max(word) < self.LETTERS):
             return self[word] + self.marks[piece[-1]]
         found = self.whole(self.lead + piece)
-        if len(self) < REMEMBERED:
+        slot = hash(piece) % MET
+        if not self.met[slot]:
+            if self.n_met >= MET // 2:
+                self.met, self.n_met = bytearray(MET), 0
+            self.met[slot] = 1
+            self.n_met += 1
+        elif len(self) < REMEMBERED:
             self[piece] = found
         return found
 
@@ -142,6 +151,7 @@ def _write(folder: str, tokenizer: str):
             for doc_id, n in zip(batch.column(0).to_pylist(), lengths.tolist(), strict=True):
                 writer.add(doc_id, np.concatenate((ids[at : at + n], end)))
                 at += n
+            pa.default_memory_pool().release_unused()
         if writer is not None:
             writer.close()
             stream.close()
