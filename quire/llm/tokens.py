@@ -25,8 +25,8 @@ from quire.llm.common import in_small_batches, rows, scratch
 from quire.llm.simple8b import Reader, Writer
 
 END = 0
-#: Pieces whose ids a worker remembers, which are ones that it has met in two lookups; what fits a table of 2^19.
-REMEMBERED = 349_000
+#: Pieces whose ids a worker remembers, which are ones that it has met in two lookups.
+REMEMBERED = 600_000
 #: Slots, of a byte each, that tell which pieces were met once.
 MET = 1 << 22
 #: Texts whose pieces are looked up together.
@@ -151,7 +151,6 @@ def _write(folder: str, tokenizer: str):
             for doc_id, n in zip(batch.column(0).to_pylist(), lengths.tolist(), strict=True):
                 writer.add(doc_id, np.concatenate((ids[at : at + n], end)))
                 at += n
-            pa.default_memory_pool().release_unused()
         if writer is not None:
             writer.close()
             stream.close()
