@@ -27,6 +27,8 @@ from quire.llm.simple8b import Reader, Writer
 END = 0
 #: Pieces whose ids a worker remembers, which are ones that it has met in two lookups.
 REMEMBERED = 600_000
+#: Characters of a piece that is remembered, so that memory is bounded whatever the texts are.
+LONGEST = 64
 #: Slots, of a byte each, that tell which pieces were met once.
 MET = 1 << 22
 #: Texts whose pieces are looked up together.
@@ -64,9 +66,9 @@ class PieceIds(dict):
         if not piece or piece[0].isspace() or piece[-1].isspace():
             return None
         if "\n" in piece:
-            left, right = piece.split("\n", 1)
-            left, right = self[left], self.lines[right]
-            return self.whole(self.lead + piece) if left is None or right is None else left + right
+            first, *others = piece.split("\n")
+            parts = [self[first], *map(self.lines.__getitem__, others)]
+            return self.whole(self.lead + piece) if None in parts else b"".join(parts)
         word = piece[:-1]
         if piece[-1] in self.marks and word.isalpha() and (word.isascii() or max(word) < self.LETTERS):
             return self[word] + self.marks[piece[-1]]
@@ -77,7 +79,7 @@ class PieceIds(dict):
                 self.met, self.n_met = bytearray(MET), 0
             self.met[slot] = 1
             self.n_met += 1
-        elif len(self) < REMEMBERED:
+        elif len(self) < REMEMBERED and len(piece) <= LONGEST:
             self[piece] = found
         return found
 

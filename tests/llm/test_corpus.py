@@ -95,6 +95,16 @@ def test_pieces_equal_whole_texts(text):
     assert ids[: sizes[0]].tolist() == wanted and ids[len(ids) - sizes[2] :].tolist() == wanted
 
 
+@pytest.mark.parametrize("mark", ["\n", ".\n", "\n\n", " \n"])
+def test_pieces_of_a_line_each(mark):
+    import pyarrow as pa
+
+    text = mark.join(f"w{i}" for i in range(5000)) + " " + "long" * 50_000
+    ids, _ = pieces().of(pa.array([text, text]))
+    assert ids.tolist() == 2 * pieces().tokenizer.encode(text, add_special_tokens=False).ids
+    assert max(map(len, pieces())) <= 64
+
+
 def pieces(held=[]):  # noqa: B006
     if not held:
         from tokenizers import Tokenizer
