@@ -11,6 +11,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -61,13 +62,17 @@ FEATURES = (
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of findings in a whole text, in order; a stretch is found once, by the first pattern."""
-    found: list[tuple[int, int, str]] = []
+    starts: list[int] = []
+    found: list[tuple[str, int, int]] = []
     for kind, pattern in _FOUND:
         for m in pattern.finditer(text):
             a, b = m.span("v")
-            if not any(x < b and a < y for x, y, _ in found):
-                found.append((a, b, kind))
-    return [(kind, a, b) for a, b, kind in sorted(found)]
+            # What was found is disjoint, so only the last that begins before b can overlap.
+            at = bisect_left(starts, b)
+            if not at or found[at - 1][2] <= a:
+                starts.insert(at, a)
+                found.insert(at, (kind, a, b))
+    return found
 
 
 def features(kind: str, value: str, before: str, after: str) -> list[float]:

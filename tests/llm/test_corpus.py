@@ -144,6 +144,21 @@ def test_secrets(spark):
     assert secrets.secret_findings(own.filter("false")).count() == 0
 
 
+def test_candidates_do_not_overlap():
+    rng = random.Random(5)
+    parts = ["password=", "token: ", "AKIA" + "Q7" * 8, "0a1b" * 8, "ghp_" + "aB3" * 9, "eyJ" + "x1" * 6 + "." + "y2" * 6 + "." + "z3" * 6, " ", "word", "/"]
+    for _ in range(200):
+        text = "".join(rng.choice(parts) for _ in range(40))
+        taken = []
+        for kind, pattern in secrets._FOUND:
+            for m in pattern.finditer(text):
+                a, b = m.span("v")
+                if not any(x < b and a < y for _, x, y in taken):
+                    taken.append((kind, a, b))
+        assert secrets.candidates(text) == sorted(taken, key=lambda f: f[1:])
+    assert len(secrets.candidates("password=7602ad27cf5550de1c " * 20_000)) == 20_000
+
+
 def test_forest_on_findings_it_has_not_seen(spark):
     found = secrets.labelled_findings(1500, seed=99)
     x = np.array([secrets.features(k, v, b, a) for k, v, b, a, _ in found])
