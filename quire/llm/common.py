@@ -94,13 +94,16 @@ def rows(batches: Iterable[pa.RecordBatch], step: int = 256) -> Iterator[pa.Reco
 
 #: Rows of an Arrow batch that holds texts. Spark's default of 10,000 takes tens of MB for each batch, on both sides.
 BATCH_ROWS = 1000
+#: Bytes of such a batch, so that few long texts are held at a time; a text that is longer has a batch of its own.
+BATCH_BYTES = 8 << 20
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:
-    """df; from now on the session passes at most BATCH_ROWS rows at a time to Python."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    """df; from now on the session passes at most BATCH_ROWS rows and BATCH_BYTES at a time to Python."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.max{}PerBatch"
+    if not 0 < int(conf.get(name.format("Records"))) <= BATCH_ROWS:
+        conf.set(name.format("Records"), str(BATCH_ROWS))
+    conf.set(name.format("Bytes"), str(BATCH_BYTES))
     return df
 
 
