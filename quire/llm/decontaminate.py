@@ -3,8 +3,9 @@
 The windows of 13 words of the benchmark's items (an item of fewer words is one window) are broadcast as a hash
 set. All token windows of all texts are rolled past it; a hit is verified on its words.
 
-What is broadcast is bounded: the benchmark is dealt into blocks of at most `BLOCK_CHARS` characters of text on
-average, each of which passes over the texts, and hits of a text are merged. One block is the usual case.
+What is broadcast is bounded: a benchmark of more than `BLOCK_CHARS` characters is cut into pieces, which share
+their last words so that no window is lost, and dealt by their running length into blocks of at most that and one
+piece more. Each block passes over the texts, and hits of a text are merged. One block is the usual case.
 """
 
 from __future__ import annotations
@@ -13,14 +14,14 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import ALNUM_WORD, alnum_words, in_small_batches, rows
+from quire.llm.common import ALNUM_WORD, alnum_words, in_small_batches, rows, stored
 
 WINDOW = 13
-#: Characters of benchmark text that one broadcast holds, on average.
-BLOCK_CHARS = 4_000_000
+#: Characters of benchmark text that one broadcast holds, and windows of a piece, one of which it may hold besides.
+BLOCK_CHARS, PIECE_WINDOWS = 4_000_000, 4096
 #: A text is contaminated if one in so many words is hit.
 SHARE = 20
 
@@ -110,16 +111,45 @@ def _scanner(windows):
     return scan
 
 
+def _cut(window: int):
+    def cut(batches):
+        for batch in rows(batches):
+            ids, texts = [], []
+            for item_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = alnum_words(data)
+                for at in range(0, max(1, len(words) - window + 1), PIECE_WINDOWS):
+                    ids.append(item_id)
+                    texts.append(b" ".join(words[at : at + PIECE_WINDOWS + window - 1]).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["item_id", "text"])
+
+    return cut
+
+
+def _dealt(items: DataFrame, window: int, block_chars: int) -> DataFrame:
+    """Pieces of items (item_id, text) with the block of each, counted from 0."""
+    binary = in_small_batches(items).select("item_id", F.col("text").cast("binary"))
+    pieces = binary.mapInArrow(_cut(window), "item_id string, text string").withColumn("key", F.xxhash64("item_id", "text"))
+    pieces = stored(pieces, "pieces")
+    # One narrow row for each piece, that is for each few thousand words of the benchmark.
+    chars = pieces.groupBy("key").agg(F.sum(F.length("text") + 1).alias("chars"))
+    before = F.coalesce(F.sum("chars").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    block = F.floor(before / block_chars)
+    return stored(pieces.join(chars.select("key", block.alias("block")), "key").drop("key"), "dealt")
+
+
 def _blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_chars: int):
     """Broadcasts of the benchmark's windows, one block after the other."""
     items = benchmark.select(F.col("item_id").cast("string"), "text").filter("text IS NOT NULL").distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // block_chars))
+    parts = [items]
+    if chars > block_chars:
+        dealt = _dealt(items, window, block_chars)
+        blocks = dealt.select("block").distinct().orderBy("block").collect()
+        parts = [dealt.filter(F.col("block") == x).select("item_id", "text") for (x,) in blocks]
     in_small_batches(docs)
-    for block in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        held = Windows([(x[0] or "", x[1].encode()) for x in sorted(own, key=lambda x: (x[0] or "", x[1]))], window)
-        yield docs.sparkSession.sparkContext.broadcast(held)
+    for part in parts:
+        own = sorted(part.collect(), key=lambda x: (x[0] or "", x[1]))
+        yield docs.sparkSession.sparkContext.broadcast(Windows([(x[0] or "", x[1].encode()) for x in own], window))
 
 
 def _clean(windows, text: int):

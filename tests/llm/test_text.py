@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from quire.llm import decontaminate
 from quire.llm.decontaminate import contamination, decontaminated
 from quire.llm.licenses import licenses
 from quire.llm.quality import quality
@@ -95,6 +96,22 @@ def test_contamination(spark, block_chars):
     assert cut[12]["text"] == filler and cut[0]["text"] is None
 
 
+def test_blocks_are_bounded_and_lose_no_window(spark):
+    words = [f"w{i}" for i in range(3 * decontaminate.PIECE_WINDOWS)]
+    items = [(1, " ".join(words)), (2, "few words"), (3, " ".join(words[:50])), (None, " ".join(words[::-1]))]
+    items += [(10 + i, f"item {i} " + " ".join(words[i : i + 20])) for i in range(200)]
+    bench = spark.createDataFrame(items, ITEMS)
+    at = decontaminate.PIECE_WINDOWS
+    texts = [" ".join(words[i : i + 13]) for i in (0, at - 13, at - 12, at - 1, at, 2 * at - 6, 3 * at - 13)] + ["few words"]
+    one, many = (by_id(contamination(docs(spark, *texts), bench, block_chars=n)) for n in (10**9, 20_000))
+    assert all(one[i]["n_hit"] == len(t.split()) for i, t in enumerate(texts))
+    for i in one:
+        assert all(one[i][c] == many[i][c] for c in ("n_words", "n_hit", "items_sha256", "contaminated"))
+    named = bench.select(F.col("item_id").cast("string"), "text")
+    dealt = decontaminate._dealt(named, 13, 20_000).groupBy("block").agg(F.sum(F.length("text") + 1), F.max(F.length("text"))).collect()
+    assert len(dealt) > 3 and all(total <= 20_000 + longest + 1 for _, total, longest in dealt)
+
+
 def test_contamination_of_nothing(spark):
     own, none = docs(spark, "a b"), spark.createDataFrame([], ITEMS)
     assert by_id(contamination(own, none))[0]["n_hit"] == 0
