@@ -1,9 +1,9 @@
 """Token ids of whole texts, written as Simple-8b files in ascending doc_id order and read back.
 
 Rows are dealt by ranges of doc_id, so a file holds a range and files follow each other. Each task writes one file
-under a name of its own attempt in the shared folder and renames it when it is whole: a task that is run again,
-or twice at a time, replaces it with the same bytes. A manifest of one row for each file, written as a table,
-tells where each file's ids start.
+in the shared folder, whose name is its attempt's alone: a task that is run again, or twice at a time, writes
+another. A manifest of one row for each file, written as a table, tells where each file's ids start, and, as Spark
+commits the rows of one attempt only, which files count. Nothing is renamed, which not all storage can do.
 """
 
 from __future__ import annotations
@@ -140,13 +140,13 @@ def _write(folder: str, tokenizer: str):
         fs, root = _filesystem(folder)
         part = TaskContext.get().partitionId()
         ids_of = _piece_ids(tokenizer)
-        temporary = f"{root}/.attempt-{uuid.uuid4().hex}"
+        name = f"part-{part:06d}-{uuid.uuid4().hex}.s8b"
         writer, stream = None, None
         end = np.array([END], np.uint32)
         for batch in rows(batches, TEXTS):
             if writer is None:
                 fs.create_dir(root, recursive=True)
-                stream = fs.open_output_stream(temporary)
+                stream = fs.open_output_stream(f"{root}/{name}")
                 writer = Writer(stream)
             ids, lengths = ids_of.of(pc.fill_null(batch.column(1), ""))
             at = 0
@@ -156,8 +156,6 @@ def _write(folder: str, tokenizer: str):
         if writer is not None:
             writer.close()
             stream.close()
-            name = f"part-{part:06d}.s8b"
-            fs.move(temporary, f"{root}/{name}")
             sums = [name], [part], [len(writer.lengths)], [writer.total], [writer.offset]
             kinds = pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()
             columns = [pa.array(v, k) for v, k in zip(sums, kinds, strict=True)]

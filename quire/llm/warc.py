@@ -9,7 +9,7 @@ range.
 Of records with one payload of `REVISIT_BYTES` or more, the one with the largest page_id is a response, the
 others are revisits that refer to it.
 
-Files are written under the name of an attempt and renamed when whole, so tasks can be run again.
+Files have names of their task's attempt alone, and the manifest lists those that count, so tasks can be run again.
 """
 
 from __future__ import annotations
@@ -178,8 +178,8 @@ def _batch(schema: str, kinds: list, out: list) -> pa.RecordBatch:
 def _write(folder: str):
     def write(batches):
         fs, root = _filesystem(folder)
-        part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
-        archive = f"{root}/.attempt-{attempt}.warc.gz"
+        part = TaskContext.get().partitionId()
+        name = f"part-{part:06d}-{uuid.uuid4().hex}.warc.gz"
         stream, index, offset, revisit = None, None, 0, (None, None)
         for batch in rows(batches):
             for key, page_id, digest, mark, url, payload, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -189,8 +189,8 @@ def _write(folder: str):
                 refers_to = revisit[1] if revisit[0] == (key, page_id, digest) else None
                 if stream is None:
                     fs.create_dir(root, recursive=True)
-                    stream = fs.open_output_stream(archive, compression=None)
-                    of_index = fs.open_output_stream(f"{archive}.cdx", compression=None)
+                    stream = fs.open_output_stream(f"{root}/{name}", compression=None)
+                    of_index = fs.open_output_stream(f"{root}/{name}.cdx", compression=None)
                     index = IndexWriter(of_index)
                 data = record(page_id, url, payload, digest, refers_to)
                 stream.write(data)
@@ -200,9 +200,6 @@ def _write(folder: str):
             index.close()
             of_index.close()
             stream.close()
-            name = f"part-{part:06d}.warc.gz"
-            fs.move(f"{archive}.cdx", f"{root}/{name}.cdx")
-            fs.move(archive, f"{root}/{name}")
             kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64()]
             yield _batch(_MANIFEST, kinds, [(name, part, index.first, index.last, index.n)])
 

@@ -125,7 +125,8 @@ def test_token_digests(spark, tmp_path):
         wanted.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert out == wanted
-    assert not [f for f in os.listdir(tmp_path / "t") if f.startswith(".attempt")]
+    listed = {r["file"] for r in spark.read.parquet(str(tmp_path / "t" / "manifest")).collect()}
+    assert listed == {f for f in os.listdir(tmp_path / "t") if f.endswith(".s8b")}
     assert token_digests(own.filter("false"), tokenizer_path()).count() == 0
     assert write_tokens(own.filter("doc_id = 1"), str(tmp_path / "u"), tokenizer_path()).count() == 1
 
