@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from quire.functions.pages import effective_page_size
 from quire.schema import OPS, color_mode_op, enhance_contrast_op, page_size, remove_shading_op, rotate_op, split_op
 
-#: Pages of a document; operations of a page that queries about pixels and widths take.
-PAGES_OF_DOCUMENT, FEW_OPS = 50, 6
+#: Pages of a document.
+PAGES_OF_DOCUMENT = 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,8 +40,8 @@ SOURCES = """
     )"""
 
 
-def pages(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
-    """A page for each user, with the operations of its events in order, all or the first `most`."""
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each user, with the operations of all its events in order."""
     kind, n = F.col("event_type"), F.col("event_id")
     mode = F.element_at(F.array(*map(F.lit, ("color", "gray", "bw", "bw-otsu"))), (n % 4 + 1).cast("int"))
     op = (
@@ -53,7 +53,6 @@ def pages(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFram
     )
     log = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id", op.alias("op")).alias("e"))
     ops = F.transform(F.sort_array(F.collect_list("e")), lambda e: e["op"]).cast(OPS)
-    ops = F.slice(ops, 1, most) if most else ops
     paged = log.groupBy("user_id").agg(ops.alias("operations"))
     original = page_size(612, 792)
     return paged.select(
@@ -69,8 +68,7 @@ def pages(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFram
     )
 
 
-def pages_sql(most: int | None = None) -> str:
-    cut = f"[:{most}]" if most else ""
+def pages_sql() -> str:
     return f"""
     log AS (
         SELECT user_id, ts, event_id, {{
@@ -81,7 +79,7 @@ def pages_sql(most: int | None = None) -> str:
             'mode': CASE event_type WHEN 'signup' THEN (['color', 'gray', 'bw', 'bw-otsu'])[event_id % 4 + 1] END
         }} AS op FROM events
     ), paged AS (
-        SELECT user_id, (list(op ORDER BY ts, event_id)){cut} AS operations FROM log GROUP BY user_id
+        SELECT user_id, list(op ORDER BY ts, event_id) AS operations FROM log GROUP BY user_id
     ), pages0 AS (
         SELECT user_id // {PAGES_OF_DOCUMENT} AS document, user_id % {PAGES_OF_DOCUMENT} AS position, user_id::VARCHAR AS id,
                's' || (user_id % 7) AS source_id, user_id::INT AS source_page_index, operations, user_id % 3 = 0 AS selected

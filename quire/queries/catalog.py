@@ -10,7 +10,6 @@ from quire.functions import strings as S
 from quire.operators import catalog, edits, history, lookups, summaries
 from quire.plans.export import export_plan, rescale_plan
 from quire.queries.bindings import (
-    FEW_OPS,
     LABEL,
     MODE,
     PAGES_OF_DOCUMENT,
@@ -41,7 +40,7 @@ _DPI = "CASE WHEN mode IN ('bw', 'bw-otsu') THEN 150 ELSE 120 END"
 
 
 @query(f"""
-    WITH {pages_sql(FEW_OPS)}, m AS (
+    WITH {pages_sql()}, m AS (
         SELECT *, {MODE} AS mode FROM sized
     ), d AS (
         SELECT *, {_DPI} AS dpi FROM m
@@ -55,7 +54,7 @@ _DPI = "CASE WHEN mode IN ('bw', 'bw-otsu') THEN 150 ELSE 120 END"
     FROM p
 """)
 def export_plan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export_plan(pages(spark, sf_dir, FEW_OPS))
+    return export_plan(pages(spark, sf_dir))
 
 
 QUERIES["export_plan"], SQL["export_plan"] = QUERIES.pop("export_plan_query"), SQL.pop("export_plan_query")
@@ -153,7 +152,7 @@ def color_mode_removed(spark, sf_dir):
 
 def _once_sql(kind: str) -> str:
     return f"""
-    WITH {pages_sql(FEW_OPS)}
+    WITH {pages_sql()}
     SELECT document, position, id, size.w AS width, size.h AS height,
            concat_ws('|', {ops_sql()}, CASE WHEN selected AND len([1 FOR o IN operations IF o.type = '{kind}']) = 0 THEN '{kind}' END) AS ops, selected
     FROM sized
@@ -162,13 +161,13 @@ def _once_sql(kind: str) -> str:
 
 @query(_once_sql("removeShading"))
 def remove_shading_once(spark, sf_dir):
-    once = edits.remove_shading_selected(pages(spark, sf_dir, FEW_OPS))
+    once = edits.remove_shading_selected(pages(spark, sf_dir))
     return _reported(edits.remove_shading_selected(once))
 
 
 @query(_once_sql("enhanceContrast"))
 def enhance_contrast_once(spark, sf_dir):
-    once = edits.enhance_contrast_selected(pages(spark, sf_dir, FEW_OPS))
+    once = edits.enhance_contrast_selected(pages(spark, sf_dir))
     return _reported(edits.enhance_contrast_selected(once))
 
 
@@ -188,7 +187,7 @@ def effective_mode(spark, sf_dir):
 
 
 @query(f"""
-    WITH {pages_sql(FEW_OPS)}
+    WITH {pages_sql()}
     SELECT id, a.w AS width, a.h AS height, b.w AS width_turned_first, b.h AS height_turned_first
     FROM (SELECT id, {size_sql("300.0", "500.0")} AS a, {size_sql("500.0", "300.0")} AS b FROM pages0)
 """)
@@ -196,7 +195,7 @@ def effective_size(spark, sf_dir):
     from quire.schema import page_size
 
     a, b = (P.effective_page_size(page_size(*x), F.col("operations")) for x in ((300, 500), (500, 300)))
-    return pages(spark, sf_dir, FEW_OPS).select(
+    return pages(spark, sf_dir).select(
         "id", a["width"].alias("width"), a["height"].alias("height"),
         b["width"].alias("width_turned_first"), b["height"].alias("height_turned_first"),
     )
@@ -270,16 +269,16 @@ def most_common_mode(spark, sf_dir):
     ), l AS (
         SELECT document, arg_max(label, n * 10 - list_position(['', 'gray', 'bw', 'bwprog'], label)) AS label FROM c GROUP BY document
     ), s AS (
-        SELECT document, CASE WHEN count(DISTINCT source_id) = 1 THEN min(source_id) ELSE 'merged' END AS base
-        FROM sized WHERE document % 2 = 0 OR source_id = 's1' GROUP BY document
+        SELECT document, CASE WHEN count(DISTINCT stem) = 1 THEN min(stem) ELSE 'merged' END AS base
+        FROM (SELECT document, CASE WHEN document % 2 = 0 THEN source_id ELSE 's1' END AS stem FROM sized) GROUP BY document
     )
     SELECT document, concat_ws('_', base, 'highcomp', nullif(label, ''), 'ocr') || '.pdf' AS name FROM l JOIN s USING (document)
 """)
 def output_name(spark, sf_dir):
     own = pages(spark, sf_dir)
-    stems = own.filter("document % 2 = 0 OR source_id = 's1'").select(
-        "document", S.file_stem(F.concat("source_id", F.lit(".pdf"))).alias("stem")
-    )
+    # Every other document has a single source.
+    name = F.concat(F.when(F.col("document") % 2 == 0, F.col("source_id")).otherwise("s1"), F.lit(".pdf"))
+    stems = own.select("document", S.file_stem(name).alias("stem"))
     return summaries.output_names(own, stems, "high", True)
 
 
@@ -330,15 +329,14 @@ def snapshot_diff(spark, sf_dir):
     WITH {pages_sql()}, v AS (
         SELECT unnest(range(60)) AS version
     )
-    SELECT version::INT AS version, id, {ops_sql("operations[:version]")} AS ops FROM v, sized
-    WHERE version >= 10 AND source_page_index < 20
+    SELECT version::INT AS version, id, {ops_sql("operations[:greatest(len(operations) - 59 + version, 0)]")} AS ops FROM v, sized
+    WHERE version >= 10
 """)
 def history_cap(spark, sf_dir):
-    own = history.snapshot(pages(spark, sf_dir).filter("source_page_index < 20"))
+    """Sixty versions of all pages, the last with all operations, each one before with one fewer: fifty are kept."""
+    own = history.snapshot(pages(spark, sf_dir))
     numbered = own.withColumn("version", F.explode(F.expr("sequence(0, 59)")))
-    ops = F.when(F.col("version") > 0, F.expr("slice(operations, 1, greatest(version, 1))")).otherwise(
-        F.expr("filter(operations, o -> false)")
-    )
+    ops = F.expr("slice(operations, 1, greatest(size(operations) - 59 + version, 0))")
     kept = history.capped(numbered.withColumn("operations", ops))
     return kept.select("version", "id", P.ops_text(F.col("operations")).alias("ops"))
 
@@ -359,13 +357,15 @@ def undo_to_start(spark, sf_dir):
 
 
 @query(f"""
-    WITH {pages_sql(FEW_OPS)}, v AS (SELECT unnest(range(5)) AS version), o AS (
-        SELECT version, id, {ops_sql("operations[:version]")} AS ops FROM v, sized
+    WITH {pages_sql()}, v AS (
+        SELECT *, unnest(range(len(operations) + 1)) AS version FROM sized
+    ), o AS (
+        SELECT version, id, {ops_sql("operations[:version]")} AS ops FROM v
     )
     SELECT version::INT AS version, id, ops <> lag(ops) OVER (PARTITION BY id ORDER BY version) AS changed FROM o
 """)
 def version_changes(spark, sf_dir):
-    own = history.snapshot(pages(spark, sf_dir, FEW_OPS)).withColumn("version", F.explode(F.expr("sequence(0, 4)")))
+    own = history.snapshot(pages(spark, sf_dir)).withColumn("version", F.explode(F.expr("sequence(0, size(operations))")))
     ops = F.when(F.col("version") > 0, F.expr("slice(operations, 1, greatest(version, 1))")).otherwise(
         F.expr("filter(operations, o -> false)")
     )
