@@ -34,7 +34,7 @@ class Rule(NamedTuple):
 #: Metrics are names of METRICS. The bounds are wide: a rule is to catch what is no prose at all.
 RULES = (
     Rule("word_length", "mean_word_chars", 2.0, 20.0),
-    Rule("symbols", "symbols_per_word", None, 0.5),
+    Rule("symbols", "symbols_per_word", None, 0.1),
     Rule("stop_words", "stop_word_ratio", 0.02, None),
     Rule("repeated_lines", "dup_line_ratio", None, 0.5),
     Rule("bullets", "bullet_line_ratio", None, 0.9),

@@ -45,6 +45,17 @@ def test_quality_counts(spark):
     assert out[0]["base_failed"] and not out[0]["kept"]
 
 
+def test_symbol_junk_with_a_few_stop_words_is_not_kept(spark):
+    junk = " | ".join(f"cell{i}" for i in range(60)).split(" ")
+    junk = [w for i, w in enumerate(junk) if w != "|" or i % 4 == 1] + ["the", "of", "and", "in"]
+    share = junk.count("|") / len(junk)
+    prose = " ".join(f"the word{i} of line{i} is" for i in range(12))
+    out = by_id(quality(docs(spark, " ".join(junk), prose, f"{prose} # * | <b>")))
+    assert 0.3 < share < 0.46 and not out[0]["base_failed"]
+    assert not out[0]["kept"] and out[0]["broken_rules"] == "symbols"
+    assert out[1]["kept"] and out[2]["kept"] and out[2]["n_symbols"] == 5
+
+
 def test_quality_of_no_rows_and_of_repeated_ones(spark):
     assert quality(spark.createDataFrame([], DOCS)).count() == 0
     assert quality(spark.createDataFrame([(None, "a b"), (None, "a b")], DOCS)).count() == 2
