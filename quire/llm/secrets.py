@@ -26,15 +26,21 @@ TRAIN_FINDINGS = 20_000
 THRESHOLD = 0.5
 CONTEXT = 60
 
+# A whole identifier that holds a keyword, and the separator after it. Each identifier is read from its start only, and
+# searched for keywords only before a separator, so time is in proportion to the text.
+_SEPARATOR = r"[\"']?\]?\s{0,3}[:=]"
+_KEYWORD = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)"
+_NAME = rf"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]++{_SEPARATOR})(?=[A-Za-z0-9_-]*?{_KEYWORD})[A-Za-z0-9_-]++{_SEPARATOR}"
+
 # Patterns of findings, in order of precedence; group `v` is the value.
 PATTERNS = (
     ("aws_key_id", r"\b(?P<v>(?:AKIA|ASIA)[0-9A-Z]{16})\b"),
     ("prefixed", r"\b(?P<v>(?:gh[opsu]|glpat|xox[abp]|sk_live|sk_test|pk_live)[_-][A-Za-z0-9_-]{16,})"),
     ("jwt", r"\b(?P<v>eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"),
     ("private_key", r"(?P<v>-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----)"),
-    ("assigned", r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<v>[^\s\"'<>,;]{6,})"),
+    ("assigned", _NAME + r"\s{0,3}[\"']?(?i:(?:bearer|basic)\s{1,3})?(?P<v>[^\s\"'<>,;]{6,})"),
     ("hex", r"\b(?P<v>[0-9a-f]{32,}|[0-9A-F]{32,})\b"),
-    ("base64", r"(?<![A-Za-z0-9+/_=-])(?P<v>(?=[A-Za-z+/]{0,40}[0-9])[A-Za-z0-9+/]{32,}={0,2})(?![A-Za-z0-9+/_=-])"),
+    ("base64", r"(?<![A-Za-z0-9+/_-])(?P<v>[A-Za-z0-9+/]{32,}={0,2})(?![A-Za-z0-9+/_=-])"),
 )
 _FOUND = [(kind, re.compile(p)) for kind, p in PATTERNS]
 
@@ -118,17 +124,29 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str
     some = lambda alphabet, a, b=None: "".join(rng.choice(alphabet) for _ in range(rng.randint(a, b or a)))
     prose = lambda: " ".join(some(lower, 2, 9) for _ in range(rng.randint(0, 8))) + " " * rng.randint(0, 1)
     assign = lambda words: rng.choice(words) + rng.choice(["=", " = ", ": ", ' = "', "='"])
-    named = lambda: assign(["password", "passwd", "secret", "token", "api_key", "API_KEY", "access_key", "auth"])
+    keyword = lambda: rng.choice(["password", "passwd", "pwd", "secret", "token", "api_key", "apiKey", "access_key", "auth"])
+    parts = lambda found: found + [""] * len(found)
+    long_name = lambda: rng.choice(parts(["db_", "aws_", "client_", "my-", "x-", "user"])) + keyword() + rng.choice(parts(["_key", "_value", "2", "-prod"]))
+    named = lambda: assign([rng.choice([str.lower, str.upper, str])(long_name())])
+    spoken = lambda a, b: "".join(rng.choice("bcdfghklmnprstvw") + rng.choice(["a", "e", "i", "o", "u", "er", "an", "ou"]) for _ in range(rng.randint(a, b)))
+    camel = lambda a, b: "".join(rng.choice(DICTIONARY).capitalize() for _ in range(rng.randint(a, b)))
     words = lambda a, b: rng.choice(["", "_", "-"]).join(rng.choice(DICTIONARY) for _ in range(rng.randint(a, b)))
     true = (
         lambda: ("aws_key_id", "AKIA" + some(upper + digits, 16), prose() + rng.choice(["", "aws key ", "access "])),
+        lambda: ("aws_key_id", "AKIA" + some(upper + rng.choice(["", "27"]), 16), prose() + rng.choice(["", "aws key ", "access "])),
         lambda: ("prefixed", rng.choice(["ghp_", "sk_live_", "glpat-", "xoxb-"]) + some(lower + upper + digits, 20, 40), prose()),
         lambda: ("jwt", ".".join(["eyJ" + some(lower + upper + digits, 15, 30), some(lower + upper + digits, 20, 60), some(lower + upper + digits + "_-", 30, 43)]), prose()),
         lambda: ("private_key", "-----BEGIN " + rng.choice(["", "RSA ", "EC "]) + "PRIVATE KEY-----", prose()),
         lambda: ("assigned", some(hexa, 16, 64), prose() + named()),
+        lambda: ("assigned", some(digits + hexa, 14, 32), prose() + named()),
         lambda: ("assigned", some(lower + upper + digits + "!#%&*+-", 10, 40), prose() + named()),
-        lambda: ("base64", some(lower + upper + digits + "+/", 40, 64), prose() + rng.choice(["secret ", "key ", "bearer "])),
+        lambda: ("assigned", some(lower + upper + digits, 9, 24), prose() + named()),
+        lambda: ("assigned", some(lower + upper + digits + "+/", 32, 64), prose() + named()),
+        lambda: ("base64", some(lower + upper + digits + "+/", 32, 64), prose() + rng.choice(["secret ", "key ", "bearer "])),
+        lambda: ("base64", some(lower + upper + "+/", 32, 64), prose() + rng.choice(["secret ", "key ", "bearer ", "key="])),
+        lambda: ("base64", some(lower + upper + digits + "+/", 32, 86) + rng.choice(["", "=", "=="]), prose() + rng.choice(["AccountKey=", "ENCRYPTION_KEY=", "signing=", "key="])),
         lambda: ("hex", some(hexa, 32, 64), prose() + rng.choice(["secret ", "token ", "api key "])),
+        lambda: ("hex", some(hexa, 32, 64), prose() + rng.choice(["key=", "credential ", "bearer "])),
     )
     false = (
         lambda: ("aws_key_id", "AKIA" + rng.choice(["IOSFODNN7EXAMPLE", "X" * 16, "EXAMPLE" + "0" * 9, "1234567890123456"]), prose()),
@@ -137,11 +155,17 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str
         lambda: ("assigned", rng.choice("x*0a.") * rng.randint(6, 24), prose() + named()),
         lambda: ("assigned", rng.choice(["123456", "12345678", "abcdefgh", "qwertyui", "abcd1234"]), prose() + named()),
         lambda: ("assigned", rng.choice(["/etc/", "/home/", "./", "C:\\"]) + words(1, 2) + "/" + words(1, 2) + rng.choice([".txt", ".pem", ".yml"]), prose() + named()),
+        lambda: ("assigned", rng.choice([str, str.capitalize])(spoken(3, 6)) + rng.choice(["", "", ".", ")", ":"]), prose() + named()),
+        lambda: ("assigned", some(digits, 6, 9), prose() + named()),
+        lambda: ("assigned", "https://" + spoken(2, 4) + rng.choice([".com/", ".org/"]) + words(1, 3), prose() + named()),
+        lambda: ("assigned", rng.choice([words, camel])(2, 3) + rng.choice(["()", "(", "(self)", "[0]", ""]), prose() + named()),
         lambda: ("hex", some(hexa, 32), prose() + rng.choice(["md5 ", "checksum ", "etag ", "id ", "digest "])),
         lambda: ("hex", some(hexa, 40), prose() + rng.choice(["commit ", "sha1 ", "revision ", "hash "])),
         lambda: ("hex", some(hexa, 64), prose() + rng.choice(["sha256:", "sha256 ", "checksum "])),
         lambda: ("hex", rng.choice(hexa) * rng.randint(32, 48), prose()),
-        lambda: ("base64", words(6, 9).replace("_", "/").replace("-", "/") + some(digits, 1, 2), prose() + rng.choice(["path ", "see /", ""])),
+        lambda: ("base64", words(6, 9).replace("_", "/").replace("-", "/") + some(digits, 0, 2), prose() + rng.choice(["path ", "see /", "path=", ""])),
+        lambda: ("base64", camel(7, 10) + some(digits, 0, 1), prose() + rng.choice(["class ", "name=", ""])),
+        lambda: ("base64", spoken(15, 20), prose() + rng.choice(["name=", ""])),
     )
     out = []
     for i in range(n):

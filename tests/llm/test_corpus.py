@@ -145,6 +145,30 @@ def test_secrets(spark):
     assert secrets.secret_findings(own.filter("false")).count() == 0
 
 
+def test_secrets_under_longer_names_and_base64_after_an_equals_sign(spark):
+    plain = "qVbXnTzKjWmRpLsHgFdCyEuQaBoNiZwXkJtMvSrP"
+    true = [
+        ("DB_PASSWORD=", "k3J9xQ2mZp7"), ("AWS_SECRET_ACCESS_KEY=", "wJalrXUtnF5MI/K7MDkNGbPxRfiCYzQ8LmT3vWsH"), ('client_secret: "', "a8Kd92mQpZ7xLw"),
+        ('auth_token = "', "Zk82nQpLs91mXvB3"), ('secret_key = "', "k3J9xQ2mZp7abc"), ('config["dbPassword2"] = "', "r7Tq9ZxW2kLm"),
+        ("Authorization: Bearer ", "Zk82nQpLs91mXvB3uT5y"), ("AccountKey=", plain + "=="), ("the key ", plain),
+    ]
+    false = [
+        "authors: Mandelorban", "max_tokens = 128000", "client_secret: your_client_secret", "TOKEN_URL=https://login.banoru.com/user/token",
+        "auth_token = get_token(self)", "path=usr/share/local/public/system/data/string", "class UserPasswordCodeStringNumberObjectValue",
+    ]
+    rows = [(i, f"some words {before}{value} and more") for i, (before, value) in enumerate(true)]
+    rows += [(100 + i, f"some words {text} and more") for i, text in enumerate(false)]
+    out = secrets.secret_findings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sorted((r["doc_id"], r["start"], r["length"]) for r in out if r["secret"])
+    assert found == [(i, 11 + len(before), len(value)) for i, (before, value) in enumerate(true)]
+    assert {r["doc_id"] for r in out if not r["secret"]} == {100 + i for i in range(len(false))}
+
+
+def test_candidates_in_time_in_proportion_to_the_text():
+    for text in ("a" * 1_000_000, "token_" * 100_000, "-token" * 100_000 + ":", "token" * 100_000 + " =", "a=" * 300_000, "/" * 500_000 + "_"):
+        assert len(secrets.candidates(text)) < 2
+
+
 def test_candidates_do_not_overlap():
     rng = random.Random(5)
     parts = ["password=", "token: ", "AKIA" + "Q7" * 8, "0a1b" * 8, "ghp_" + "aB3" * 9, "eyJ" + "x1" * 6 + "." + "y2" * 6 + "." + "z3" * 6, " ", "word", "/"]
