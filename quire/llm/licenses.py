@@ -10,6 +10,8 @@ matches and one row for each text are.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -48,6 +50,8 @@ TEMPLATES = (
 DRIFT = 3
 #: Most words of an alignment for each word of its template.
 STRETCH = 1.5
+#: Places of a template's grams that one long marks; longer templates take several.
+MASK_BITS = 63
 #: Of the row that carries a text itself through the join.
 SELF = -1
 
@@ -110,6 +114,10 @@ def spans(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     distinct row one without label."""
     key = ["doc_id", "version", "n_words", "template"]
     found = matches(docs, templates)
+    longest = max((len(x.text.split()) for x in templates), default=0)
+    masks = [f"mask{k}" for k in range(max(longest - K, 0) // MASK_BITS + 1)]
+    at = F.greatest("at", F.lit(0))
+    bit = F.expr(f"shiftleft(1L, greatest(at, 0) % {MASK_BITS})")
     # One row for each gram that matched; rows that repeat in the input are counted.
     votes = found.groupBy(*key, "place", "at").agg(F.count("*").alias("copies"))
     diagonals = (
@@ -119,7 +127,7 @@ def spans(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
             F.count("*").alias("votes"),
             F.min("place").alias("first"),
             F.max("place").alias("last"),
-            F.sum(F.expr("shiftleft(1L, greatest(at, 0))")).alias("mask"),
+            *(F.sum(F.when(F.floor(at / MASK_BITS) == k, bit).otherwise(0)).alias(m) for k, m in enumerate(masks)),
         )
     )
     known = F.broadcast(_one_template(templates))
@@ -139,7 +147,7 @@ def spans(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
         .agg(
             F.min("first").alias("start"),
             (F.max("last") + K - F.min("first")).alias("length"),
-            F.bit_count(F.bit_or("mask")).alias("held"),
+            reduce(add, (F.bit_count(F.bit_or(m)) for m in masks)).alias("held"),
         )
     )
     grams = F.col("t_words") - (K - 1)

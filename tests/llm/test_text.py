@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import decontaminate
 from quire.llm.decontaminate import contamination, decontaminated
-from quire.llm.licenses import licenses
+from quire.llm.licenses import Template, licenses
 from quire.llm.quality import quality
 
 DOCS = "doc_id long, text string"
@@ -161,6 +161,16 @@ def test_licenses(spark):
     assert out[10]["labels"] == "gpl-3" and out[12]["labels"] == "mit" and out[13]["labels"] == "" and out[13]["score"] == 0
 
 
+def test_licenses_of_long_templates(spark):
+    names = [f"w{i}" for i in range(170)]
+    own = [Template(f"t{n}", " ".join(names[:n]), base, least) for n, base, least in ((65, True, 1.0), (66, True, 1.0), (67, True, 1.0), (170, False, 0.6))]
+    texts = [" ".join(names), "x y " + " ".join(names[:80] + ["put", "in"] + names[80:]) + " z", " ".join(names[:66]), " ".join(names[60:150]), " ".join(names[40:])]
+    out = by_id(licenses(docs(spark, *texts), own))
+    assert [out[i]["labels"] for i in range(5)] == ["t170,t65,t66,t67", "t170,t65,t66,t67", "t65,t66", "", "t170"]
+    assert [out[i]["n_base"] for i in range(5)] == [3, 3, 2, 0, 0]
+    assert out[0]["score"] == 1 and out[1]["score"] == 1 and out[4]["score"] == 128 / 168
+
+
 def test_licenses_of_repeated_rows(spark):
     rows = [(1, "cc by nc"), (1, "cc by nc"), (1, "cc by"), (None, "cc by nc"), (None, None)]
     out = licenses(spark.createDataFrame(rows, DOCS)).collect()
