@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import WordHashes, in_small_batches, mixed, rows, shingle_set, space_words, stored
@@ -62,7 +62,9 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-_SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, signature array<int>, bands array<long>"
+#: A vertex is a row: the smallest doc_id of its class and, as other rows can have that too, the number of the row.
+_ID = "struct<doc_id: long, row: long>"
+_SIGNED = "doc_id long, digest long, n_shingles long, k1 long, k2 long, signature array<int>, bands array<long>"
 
 
 def _sign(batches):
@@ -71,16 +73,16 @@ def _sign(batches):
     hashes = WordHashes()
     for batch in rows(batches):
         out = []
-        for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for doc_id, data, digest in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             full = shingle_set(space_words(data or b""), hashes, SHINGLE)
             if len(full):
                 key = np.frombuffer(xxhash.xxh3_128_digest(full.tobytes()), np.int64)
                 signature = minima(full)
-                out.append((doc_id, len(full), int(key[0]), int(key[1]), signature.view(np.int32), bands(signature)))
+                out.append((doc_id, digest, len(full), int(key[0]), int(key[1]), signature.view(np.int32), bands(signature)))
             else:
-                out.append((doc_id, 0, None, None, None, None))
-        columns = list(zip(*out, strict=True)) or [[]] * 6
-        kinds = pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())
+                out.append((doc_id, digest, 0, None, None, None, None))
+        columns = list(zip(*out, strict=True)) or [[]] * 7
+        kinds = pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())
         names = [x.split()[0] for x in _SIGNED.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
@@ -119,7 +121,7 @@ def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
         .select("a", "b")
     )
     full = near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
-    return full.sortWithinPartitions("b").mapInArrow(_confirm, "u long, v long")
+    return full.sortWithinPartitions("b").mapInArrow(_confirm, f"u {_ID}, v {_ID}")
 
 
 def _counters(batches):
@@ -159,7 +161,7 @@ def _rest(open_: DataFrame, texts: DataFrame) -> DataFrame:
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     for counter, n in counted.collect():
         sketch[counter] = n
-    cut = own.mapInArrow(_prefixes(spark.sparkContext.broadcast(sketch)), "id long, size long, prefix array<long>")
+    cut = own.mapInArrow(_prefixes(spark.sparkContext.broadcast(sketch)), f"id {_ID}, size long, prefix array<long>")
     held = cut.join(open_, "id").select("id", "label", "size", F.posexplode("prefix").alias("at", "shingle"))
     held = stored(held, "prefixes")
     # Sets of n and m shingles that are linked share PERCENT (n + m) / (100 + PERCENT) or more, so at the first
@@ -192,21 +194,22 @@ def _settle(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
     return connected_components(more.union(found.select("u", F.col("component").alias("v"))))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
+def _digest(text) -> Column:
+    return F.xxhash64(text.cast("binary"))
 
-    component_id is the smallest doc_id that links reach. Null and empty texts have no shingles and are linked
-    with nothing. Equal sets are linked, repeated rows too. A row without doc_id takes no part in linking:
-    its component_id is null and it is kept. No rows give no rows; other columns are not read.
-    """
-    docs = in_small_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")))
-    signed = stored(docs.mapInArrow(_sign, _SIGNED), "signed")
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """doc_id, digest of the text, n_shingles, component_id and kept for each row of docs."""
+    text = F.col("text")
+    docs = in_small_batches(docs.select(F.col("doc_id").cast("long"), text.cast("binary"), _digest(text).alias("digest")))
+    signed = stored(docs.mapInArrow(_sign, _SIGNED).withColumn("row", F.monotonically_increasing_id()), "signed")
     known = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
     # Equal sets have equal signatures; any row's will do.
     every = stored(
         known.groupBy("k1", "k2").agg(
-            F.min("doc_id").alias("id"), *(F.first(x).alias(x) for x in ("n_shingles", "signature", "bands"))
-        ),
+            F.min(F.struct("doc_id", "row", "digest")).alias("least"),
+            *(F.first(x).alias(x) for x in ("n_shingles", "signature", "bands")),
+        ).withColumns({"id": F.struct("least.doc_id", "least.row"), "digest": F.col("least.digest")}).drop("least"),
         "every",
     )
     class_ids = every.select("k1", "k2", "id")
@@ -214,28 +217,49 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     members = stored(members.join(shared, "band", "left_semi"), "members")
     wanted = members.select("id").distinct()
-    classes = stored(every.join(wanted, "id", "left_semi").select("id", "n_shingles", "signature"), "classes")
-    texts = stored(
-        docs.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").select("id", "text"), "texts"
-    )
+    classes = stored(every.join(wanted, "id", "left_semi").select("id", "digest", "n_shingles", "signature"), "classes")
+    # Of rows that repeat a doc_id and its text, one.
+    own = docs.join(classes.select("id", "id.doc_id", "digest"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
+    texts = stored(own.select("id", "text"), "texts")
     found = _settle(members, classes, texts)
     component = class_ids.join(found.withColumnRenamed("u", "id"), "id", "left").select(
         "k1", "k2", F.coalesce("component", "id").alias("component")
     )
-    out = signed.select("doc_id", "n_shingles", "k1", "k2").join(component, ["k1", "k2"], "left")
-    component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    out = signed.select("doc_id", "digest", "row", "n_shingles", "k1", "k2").join(component, ["k1", "k2"], "left")
+    named = F.col("doc_id").isNotNull()
     return out.select(
         "doc_id",
+        "digest",
         "n_shingles",
-        component_id.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"),
+        F.when(named, F.coalesce("component.doc_id", "doc_id")).alias("component_id"),
+        (~named | F.coalesce(F.col("row") == F.col("component.row"), F.lit(True))).alias("kept"),
     )
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
+
+    component_id is the smallest doc_id that links reach; of its rows, one is kept. Null and empty texts have no
+    shingles and are linked with nothing. Equal sets are linked, repeated rows too; rows that repeat a doc_id with
+    another text are texts of their own. A row without doc_id takes no part in linking: its component_id is null
+    and it is kept. No rows give no rows; other columns are not read.
+    """
+    return _judged(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, of which one stays for each component: the smallest doc_id.
+    """The rows of docs, with all their columns, of which one stays for each component: one of the smallest doc_id.
 
-    Rows that repeat one doc_id stay together. Rows without doc_id stay.
+    Rows that repeat a doc_id with another text are judged on their own. Rows without doc_id stay, and null and
+    empty texts.
     """
-    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    key = ["__doc_id", "__digest"]
+    judged = _judged(docs).withColumnsRenamed({"doc_id": key[0], "digest": key[1]})
+    gone = judged.filter(~F.col("kept")).select(key).distinct()
+    keyed = docs.withColumns({key[0]: F.col("doc_id").cast("long"), key[1]: _digest(F.col("text"))})
+    left = keyed.join(gone, key, "left_anti")
+    # Where the row that is kept has copies with its doc_id, one of them stays.
+    once = stored(judged.filter("kept AND n_shingles > 0").select(key).join(gone, key, "left_semi"), "once")
+    if once.head(1):
+        left = left.union(keyed.join(once, key, "left_semi").dropDuplicates(key))
+    return left.drop(*key)

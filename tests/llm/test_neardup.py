@@ -87,6 +87,26 @@ def test_rows_without_id_repeated_rows_and_no_rows(spark):
     assert near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_a_doc_id_with_several_texts(spark):
+    rng = random.Random(4)
+    x, y, z = ([f"{name}{i}" for i in range(80)] for name in "xyz")
+    near = " ".join(changed(x, 1, rng))
+    rows = [
+        (2, near), (5, " ".join(x)), (5, " ".join(y)), (5, " ".join(z)), (6, " ".join(changed(z, 1, rng))),
+        (7, "own words of seven"), (7, "own words of seven"), (7, "OWN words of seven"), (8, "Own words of seven"), (9, None), (9, None),
+    ]
+    own = spark.createDataFrame(rows, DOCS).withColumn("more", F.monotonically_increasing_id())
+    out = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(own).collect())
+    assert out == [
+        (2, 2, True), (5, 2, False), (5, 5, True), (5, 5, True), (6, 5, False),
+        (7, 7, False), (7, 7, False), (7, 7, True), (8, 7, False), (9, 9, True), (9, 9, True),
+    ]
+    left = drop_near_duplicates(own)
+    assert left.columns == own.columns
+    kept = sorted((r["doc_id"], (r["text"] or "").lower()) for r in left.collect())
+    assert kept == [(2, near), (5, " ".join(y)), (5, " ".join(z)), (7, "own words of seven"), (9, ""), (9, "")]
+
+
 def test_a_very_long_text(spark):
     rng = random.Random(8)
     long = [f"v{rng.randrange(10**5)}" for _ in range(60_000)]
