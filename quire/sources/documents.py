@@ -1,6 +1,6 @@
 """PDF sources and sinks.
 
-Scanning counts pages and reads their sizes; rasterising pages needs a PDF library, which is a plug-in. Writing
+Scanning counts pages and does not read their sizes; rasterising pages needs a PDF library, which is a plug-in. Writing
 needs none: pages are images, and a PDF of images is made here.
 """
 
@@ -39,17 +39,61 @@ def sources_of(files: DataFrame, keep_content: bool = False) -> DataFrame:
     return counted.select(*columns, *(["content"] if keep_content else []))
 
 
-def page_count(data: bytes) -> int:
-    """Pages of a PDF whose page objects are not compressed; the root's count, else the page objects."""
-    roots = [int(x) for x in re.findall(rb"/Type\s*/Pages\b[^>]*?/Count\s+(\d+)", data)]
-    roots += [int(x) for x in re.findall(rb"/Count\s+(\d+)[^>]*?/Type\s*/Pages\b", data)]
-    return max(roots, default=len(re.findall(rb"/Type\s*/Page\b(?!s)", data)))
+def _objects(data: bytes) -> dict[int, bytes]:
+    """Objects of a PDF by number, those in object streams too; of a number that repeats, the last."""
+    found: dict[int, bytes] = {}
+    begin, after = re.compile(rb"(?<!\d)(\d{1,10})\s{1,9}\d{1,5}\s{1,9}obj\b"), re.compile(rb"\bendobj\b|\bstream\r?\n")
+    at = 0
+    while (m := begin.search(data, at)) and (stop := after.search(data, m.end())):
+        body, at = data[m.end() : stop.start()], stop.end()
+        found[int(m[1])] = body
+        if stop[0] == b"endobj":
+            continue
+        end = data.find(b"endstream", at)
+        end = end if end >= 0 else len(data)
+        first = re.search(rb"/First\s+(\d+)", body)
+        if re.search(rb"/Type\s*/ObjStm\b", body) and first:
+            try:
+                held = zlib.decompressobj().decompress(data[at:end]) if b"FlateDecode" in body else data[at:end]
+                head = [int(x) for x in held[: int(first[1])].split()]
+                starts = [int(first[1]) + x for x in head[1::2]]
+                found |= {n: held[a:b] for n, a, b in zip(head[::2], starts, [*starts[1:], len(held)], strict=True)}
+            except (zlib.error, ValueError):
+                pass  # encrypted or damaged
+        at = end
+    return found
+
+
+def _own_entries(body: bytes) -> bytes:
+    """A dictionary without the dictionaries in it."""
+    body, n = re.sub(rb"(?<!<)<[0-9A-Fa-f\s]*>(?!>)", b"", body[body.find(b"<<") + 2 : body.rfind(b">>")]), 1
+    while n:
+        body, n = re.subn(rb"<<(?:(?!<<|>>).)*>>", b"", body, flags=re.DOTALL)
+    return body
+
+
+def page_count(data: bytes) -> int | None:
+    """Pages of a PDF: the count of the page tree's root, else the page objects; None where they are in object
+    streams that cannot be read, as in an encrypted file."""
+    objects = _objects(data)
+    for root in reversed(re.findall(rb"/Root\s+(\d+)\s+\d+\s+R", data)):
+        tree = re.search(rb"/Pages\s+(\d+)\s+\d+\s+R", objects.get(int(root), b""))
+        count = tree and re.search(rb"/Count\s+(\d+)(\s+\d+\s+R)?", _own_entries(objects.get(int(tree[1]), b"")))
+        if count:
+            value = re.search(rb"\d+", objects.get(int(count[1]), b"")) if count[2] else count
+            if value:
+                return int(value[1] if value is count else value[0])
+    bodies = [_own_entries(x) for x in objects.values()]
+    trees = [x for x in bodies if re.search(rb"/Type\s*/Pages\b", x)]
+    counts = [int(x[1]) for x in (re.search(rb"/Count\s+(\d+)", x) for x in trees) if x]
+    pages = max(counts, default=sum(bool(re.search(rb"/Type\s*/Page\b", x)) for x in bodies))
+    return pages or (None if re.search(rb"/Type\s*/ObjStm\b", data) else 0)
 
 
 def _page_count(content):
     @F.pandas_udf("int")
     def count(data):
-        return data.map(lambda x: page_count(bytes(x)))
+        return data.map(lambda x: page_count(bytes(x))).astype("Int32")
 
     return count(content)
 

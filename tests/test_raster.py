@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -155,6 +157,31 @@ def test_render_and_assemble(spark, tmp_path):
     assert [(r["name"], r["num_pages"]) for r in found] == [("book_gray.pdf", 3)]
 
 
+def packed_pdf(objects, head="", flate=True):
+    """A PDF whose objects, by number, lie in an object stream, with a cross-reference stream."""
+    bodies = [x.encode() for x in objects.values()]
+    starts = [sum(len(x) + 1 for x in bodies[:i]) for i in range(len(bodies))]
+    index = " ".join(f"{n} {at}" for n, at in zip(objects, starts, strict=True)).encode() + b" "
+    data = zlib.compress(index + b" ".join(bodies)) if flate else b"\x00encrypted"
+    stream = f"90 0 obj\n<< /Type /ObjStm /N {len(bodies)} /First {len(index)} /Filter /FlateDecode /Length {len(data)} >>\nstream\n"
+    return f"%PDF-1.5\n{head}".encode() + stream.encode() + data + (
+        b"\nendstream\nendobj\n91 0 obj\n<< /Type /XRef /Root 1 0 R /Length 1 >>\nstream\nx\nendstream\nendobj\nstartxref\n9\n%%EOF\n"
+    )
+
+
+def test_page_counts_of_packed_and_nested_page_trees():
+    tree = {
+        1: "<< /Type /Catalog /Pages 2 0 R >>", 2: "<< /Type /Pages /Kids [3 0 R 4 0 R] /Resources << /Font << /F 9 0 R >> >> /Count 5 >>",
+        3: "<< /Type /Pages /Parent 2 0 R /Kids [] /Count 3 >>", 4: "<< /Type /Pages /Parent 2 0 R /Kids [] /Count 2 >>",
+    }
+    plain = "%PDF-1.4\n" + "".join(f"{n} 0 obj\n{x}\nendobj\n" for n, x in tree.items()) + "trailer\n<< /Root 1 0 R >>\n%%EOF"
+    assert documents.page_count(plain.encode()) == 5
+    assert documents.page_count(packed_pdf(tree)) == 5
+    assert documents.page_count(packed_pdf(tree | {2: "<< /Type /Pages /Kids [] /Count 8 0 R >>", 8: "7"})) == 7
+    assert documents.page_count(packed_pdf(tree, flate=False)) is None
+    assert documents.page_count(b"%PDF-1.4\n") == 0
+
+
 def test_thumbnails(spark):
     small = executor.thumbnails(_pages(spark, 2), png.encode, 4).collect()
     assert {(r["width"], r["height"]) for r in small} == {(3, 4)}
