@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,7 +101,10 @@ BATCH_BYTES = 8 << 20
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:
-    """df; from now on the session passes at most BATCH_ROWS rows and BATCH_BYTES at a time to Python."""
+    """df; from now on the session passes at most BATCH_ROWS rows and BATCH_BYTES at a time to Python.
+
+    The setting is the session's and stays: results are lazy, and it must hold when they are read.
+    """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.max{}PerBatch"
     if not 0 < int(conf.get(name.format("Records"))) <= BATCH_ROWS:
         conf.set(name.format("Records"), str(BATCH_ROWS))
@@ -107,25 +112,124 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names made of the given ones that no column of df has, in any case of letters."""
+    taken, n = {c.lower() for c in df.columns}, 0
+    while any(f"{x}_{n}".lower() in taken for x in names):
+        n += 1
+    return [f"{x}_{n}" for x in names]
+
+
+def shared_folder(spark: SparkSession, path: str) -> str:
+    """path as a full URI: without a scheme it lies where Spark itself would put it, in the default file system.
+
+    A folder of a machine's own disk is refused on a cluster, unless it is in the one that spark.checkpoint.dir names.
+    """
+    sc = spark.sparkContext
+
+    def whole(x):
+        hadoop = sc._jvm.org.apache.hadoop.fs.Path(x)
+        return hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+    uri, root = whole(path), spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if uri.startswith("file:") and not _is_local(spark) and not (root and f"{uri}/".startswith(f"{whole(root)}/")):
+        raise ValueError(f"{path} is on a disk of one machine; the driver and all executors must share it")
+    return uri
+
+
+#: Schemes that Hadoop and Arrow name differently.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def arrow_uri(uri: str) -> str:
+    """The URI under which Arrow reaches what Hadoop reaches under this one."""
+    scheme, found, rest = uri.partition(":")
+    if not found or "/" in scheme:
+        raise ValueError(f"{uri} has no scheme; see shared_folder()")
+    if scheme == "file":
+        return "file:///" + rest.lstrip("/")
+    return f"{ARROW_SCHEMES.get(scheme, scheme)}:{rest}"
+
+
+def filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """Arrow's file system of a full URI, and the path in it."""
+    return pa.fs.FileSystem.from_uri(arrow_uri(uri))
+
+
+def _is_local(spark: SparkSession) -> bool:
+    return bool(re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master))
+
+
+#: Paths of what this thread has put into the shared folder and not removed.
+_held = threading.local()
+
+
+def _paths() -> set[str]:
+    if not hasattr(_held, "paths"):
+        _held.paths = set()
+    return _held.paths
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the cluster names; a temporary one only in local mode."""
+    """A new path in the shared folder that the cluster names; in a temporary one only in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+        if not _is_local(spark):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="quire-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/quire-{uuid.uuid4().hex}/{name}"
+    path = shared_folder(spark, f"{root.rstrip('/')}/quire-{uuid.uuid4().hex}/{name}")
+    _paths().add(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to a table in the shared folder and read again: lineage ends there."""
+    """The rows written to a table in the shared folder and read again: lineage ends there.
+
+    The table stays until discard(), settled() or clear().
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """stored(make(), name), without the tables and files that make() put into the shared folder on its way."""
+    before = set(_paths())
+    out = stored(make(), name)
+    _remove(spark, _paths() - before - {out._stored_at})
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of stored(); nothing that still reads them may run afterwards."""
+    for table in tables:
+        _remove(table.sparkSession, {table._stored_at})
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all that this thread's operators have left in the shared folder: once their results, which are read
+    lazily, have been read or written elsewhere."""
+    _remove(spark, set(_paths()))
+
+
+def _remove(spark: SparkSession, paths: set[str]) -> None:
+    sc = spark.sparkContext
+    for path in paths:
+        folder = sc._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+        _paths().discard(path)
+
 
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], by: str, cells: int = 64) -> DataFrame:
+    """An inner join on `on`, none of which is null, in which no task gets all rows of left that share a key.
 
-def delete(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    They are dealt to `cells` cells by a hash of the column `by`; each row of right, few for a key, is there once for
+    each cell of its key that left has.
+    """
+    dealt = left.withColumn("__cell", F.pmod(F.xxhash64(by), F.lit(cells)))
+    wanted = dealt.select(*on, "__cell").distinct().join(right, on)
+    return dealt.join(wanted, [*on, "__cell"]).drop("__cell")

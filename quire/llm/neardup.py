@@ -5,15 +5,17 @@ Texts are linked at a Jaccard similarity of 0.85 or more, and linked texts share
 
 1. One pass makes, for each text, a digest of its set and a signature of universal hash minima. Texts with
    equal sets are one class from here on; copies are never paired.
-2. Each class falls into one bucket a band. In each bucket, one member (the hub) is compared with all others:
-   pairs grow with the rows, not with the square of a bucket.
-3. Candidates whose signatures agree well enough are confirmed on their full sets.
+2. Each class falls into one bucket a band. In each bucket, two members (hubs), the one of the smallest set and one
+   by a hash of the band, are compared with all others: pairs grow with the rows, not with the square of a bucket.
+3. Candidates whose signatures agree well enough are confirmed on their full sets. The text of a hub with many
+   candidates goes to many tasks.
 4. Links are joined to components by alternating large-star and small-star.
-5. Members of a bucket that still lie in different components were perhaps never compared. For these texts the
-   rest is found exactly, by prefixes: with the shingles of all sets in one order, the rarest first, two sets of
-   a similarity of 0.85 share one of their first 15 percent, early enough to share all that they must from
-   there on. Texts of different components that share such a shingle are compared. A large group of near copies, which its hub has pulled together, costs no pairs, and
-   what keeps a text out of it are shingles of its own, which come first and are shared with nothing.
+5. Members of a bucket that still lie in different components were perhaps never compared. In a bucket of at most
+   `FEW` members, they are. For the texts of larger ones the rest is found exactly, by prefixes: with the shingles
+   of all sets in one order, the rarest first, two sets of a similarity of 0.85 share one of their first 15 percent,
+   early enough to share all that they must from there on. How early a set has a shingle bounds the sizes of its
+   partners there; texts meet at a shingle only if each one's size is within the other's bounds. So a large group of
+   near copies that share a template, but are no links, costs no pairs either: the words of their own come first.
 
 At 0.85, `BANDS` bands of `ROWS` minima miss a pair once in over a million.
 """
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import WordHashes, in_small_batches, mixed, rows, shingle_set, space_words, stored
+from quire.llm.common import WordHashes, fresh, in_small_batches, mixed, rows, settled, shingle_set, space_words, stored
 from quire.llm.components import connected_components
 
 SHINGLE, BANDS, ROWS = 5, 24, 5
@@ -37,6 +39,12 @@ LEAST_EQUAL = 80
 #: Counters of a sketch that tells how frequent a shingle is. It only sets the order of shingles, so its size is
 #: a matter of speed, and it is all that is broadcast.
 SKETCH_BITS = 18
+#: Members of a bucket that are compared with each other where hubs don't do. More of them go by prefixes.
+FEW = 32
+#: Candidates of a text that one task compares it with.
+CELL = 4096
+#: Classes of set sizes between a size and the largest that can be linked to it.
+CLASSES = 8
 
 _rng = np.random.Generator(np.random.PCG64(20_11))
 _FACTORS = _rng.integers(0, 2**64, MINIMA, np.uint64) | np.uint64(1)
@@ -105,22 +113,24 @@ def _confirm(batches):
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["u", "v"])
 
 
+def _beside(pairs: DataFrame, others: DataFrame) -> DataFrame:
+    """pairs (a, b, cells, cell) with the columns of others (b and more), which are there once for each cell."""
+    wanted = pairs.select("b", "cells", "cell").distinct().join(others, "b")
+    return pairs.join(wanted, ["b", "cells", "cell"])
+
+
 def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Which candidate pairs (a, b) are links: signatures first, then full sets."""
-    side = lambda x: classes.select(
-        F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}")
-    )
+    pairs = stored(pairs.distinct(), "pairs")
+    crowded = pairs.groupBy("b").agg((1 + F.floor(F.count("*") / CELL)).alias("cells")).filter("cells > 1")
+    dealt = pairs.join(crowded, "b", "left").fillna(1, "cells")
+    dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("a"), F.col("cells")))
+    side = lambda x: classes.select(F.col("id").alias(x), F.col("signature").alias(f"s_{x}"))
     text = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
     equal = F.size(F.filter(F.zip_with("s_a", "s_b", lambda x, y: x == y), lambda x: x))
-    near = (
-        pairs.distinct()
-        .join(side("a"), "a")
-        .join(side("b"), "b")
-        .filter(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-        .filter(equal >= LEAST_EQUAL)
-        .select("a", "b")
-    )
-    full = near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
+    near = _beside(dealt.join(side("a"), "a"), side("b")).filter(equal >= LEAST_EQUAL).select("a", "b", "cells", "cell")
+    near = stored(near, "near")
+    full = _beside(near.join(text("a"), "a"), text("b")).select("a", "b", "text_a", "text_b")
     return full.sortWithinPartitions("b").mapInArrow(_confirm, f"u {_ID}, v {_ID}")
 
 
@@ -153,6 +163,45 @@ def _prefixes(sketch):
     return cut
 
 
+def _size_class(size) -> Column:
+    """Sizes in classes, of which one size and the largest that can be linked to it are CLASSES apart."""
+    return F.floor(F.log(size) * F.lit(CLASSES / np.log(100 / PERCENT))).cast("int")
+
+
+def _meeting(held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, label, size, at, shingle) as the smaller and as the larger one of a pair, by the keys at which pairs
+    meet: shingle, small and large (classes of both sizes), minor_small and minor_large (whether each is of another
+    component than most texts that have the shingle)."""
+    size, left = F.col("size"), F.col("size") - F.col("at")
+    # Sets of n and m shingles that are linked share PERCENT (n + m) / (100 + PERCENT) or more, so at the first
+    # shingle that both hold, each has as many left: a bound of m, besides the one that similarity sets.
+    most = F.floor(F.lit(100 + PERCENT) * left / PERCENT).cast("long") - size
+    bounded = held.withColumns({
+        "low": F.ceil(F.lit(PERCENT) * size / 100), "high": F.least(F.floor(F.lit(100) * size / PERCENT), most), "most": F.least(size, most),
+    }).filter("low <= high")
+    by_label = bounded.groupBy("shingle", "label").agg(F.count("*").alias("n"), F.min("size").alias("s"), F.max("size").alias("t"))
+    shared = by_label.groupBy("shingle").agg(
+        F.max(F.struct("n", "label")).alias("x"), F.min("s").alias("least"), F.max("t").alias("largest"), F.count("*").alias("labels")
+    ).filter("labels > 1")
+    minor = (F.col("label") != F.col("x.label")).alias("minor")
+    open_ = bounded.join(shared, "shingle").filter("low <= largest AND high >= least").select(*bounded.columns, minor)
+    row = F.struct("id", "label", "size", "at")
+    own, classes = _size_class(size), lambda a, b: F.explode(F.sequence(_size_class(F.col(a)), _size_class(F.col(b))))
+    # Rows of the commonest component at a shingle meet others only; what others meet of their own is less than half
+    # of what they must.
+    small = open_.filter("size <= high").select("shingle", "minor", own.alias("small"), classes("size", "high").alias("large"), row.alias("a"))
+    large = open_.filter("low <= most").select("shingle", "minor", classes("low", "most").alias("small"), own.alias("large"), row.alias("b"))
+    other = F.explode(F.when(F.col("minor"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True))))
+    return (
+        small.withColumn("minor_large", other).withColumnRenamed("minor", "minor_small"),
+        large.withColumn("minor_small", other).withColumnRenamed("minor", "minor_large"),
+    )
+
+
+#: What _meeting's rows meet by.
+_KEY = ["shingle", "small", "large", "minor_small", "minor_large"]
+
+
 def _rest(open_: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of texts of different components that can still be linked. open_: (id, label)."""
     spark = texts.sparkSession
@@ -163,34 +212,43 @@ def _rest(open_: DataFrame, texts: DataFrame) -> DataFrame:
         sketch[counter] = n
     cut = own.mapInArrow(_prefixes(spark.sparkContext.broadcast(sketch)), f"id {_ID}, size long, prefix array<long>")
     held = cut.join(open_, "id").select("id", "label", "size", F.posexplode("prefix").alias("at", "shingle"))
-    held = stored(held, "prefixes")
-    # Sets of n and m shingles that are linked share PERCENT (n + m) / (100 + PERCENT) or more, so at the first
-    # shingle that both hold, each has as many left. m is the least size around, or the least that n allows.
-    shared = held.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("size").alias("least"))
-    enough = f"100 * {100 + PERCENT} * (size - at) >= {PERCENT} * (100 * size + greatest(100 * least, {PERCENT} * size))"
-    held = held.join(shared.filter("x <> y").drop("x", "y"), "shingle").filter(enough).drop("least")
-    a, b = (held.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "label", "size", "at"))) for x in "ab")
+    small, large = _meeting(stored(held, "prefixes"))
     near = (
-        "id_a > id_b AND label_a <> label_b"
-        f" AND 100 * least(size_a, size_b) >= {PERCENT} * greatest(size_a, size_b)"
-        f" AND {100 + PERCENT} * least(size_a - at_a, size_b - at_b) >= {PERCENT} * (size_a + size_b)"
+        "a.label <> b.label AND (a.size < b.size OR a.size = b.size AND a.id < b.id)"
+        f" AND 100 * a.size >= {PERCENT} * b.size"
+        f" AND {100 + PERCENT} * least(a.size - a.at, b.size - b.at) >= {PERCENT} * (a.size + b.size)"
     )
-    return a.join(b, "shingle").filter(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    return small.join(large, _KEY).filter(near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+
 
+def _within(labelled: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of different components in buckets of at most FEW members: (band, id, size, label)."""
+    groups = labelled.groupBy("band").agg(F.collect_list(F.struct("id", "label", "size")).alias("m"))
+    others = lambda x: F.filter("m", lambda y: (
+        (y["id"] < x["id"]) & (y["label"] != x["label"])
+        & (100 * F.least(x["size"], y["size"]) >= PERCENT * F.greatest(x["size"], y["size"]))
+    ))
+    of_one = lambda x: F.transform(others(x), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))
+    return groups.select(F.explode(F.flatten(F.transform("m", of_one))).alias("p")).select("p.a", "p.b")
 
-def _settle(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, component) by all links among members of equal buckets. members: (band, id)."""
-    hubs = members.groupBy("band").agg(F.min("id").alias("hub"))
-    first = members.join(hubs, "band").filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+
+def _settle(members: DataFrame, hubs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, component) by all links among members of equal buckets. members: (band, id, size); hubs: (band, hubs)."""
+    fits = f"hub.id <> id AND 100 * least(size, hub.size) >= {PERCENT} * greatest(size, hub.size)"
+    met = members.join(hubs, "band").withColumn("hub", F.explode("hubs")).filter(fits)
+    first = met.select(F.col("id").alias("a"), F.col("hub.id").alias("b"))
     found = connected_components(_links(first, classes, texts))
     labels = found.select(F.col("u").alias("id"), "component")
-    labelled = members.join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("label"))
+    labelled = members.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
     labelled = stored(labelled, "labelled")
-    mixed_bands = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
-    open_ = stored(labelled.join(mixed_bands.select("band"), "band", "left_semi").select("id", "label").distinct(), "open")
-    if not open_.head(1):
-        return found
-    more = _links(_rest(open_, texts), classes, texts)
+    apart = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"))
+    apart = stored(apart.filter("x <> y").select("band", (F.col("n") <= FEW).alias("few")), "apart")
+    few = labelled.join(apart.filter("few"), "band", "left_semi")
+    open_ = stored(labelled.join(apart.filter("NOT few"), "band", "left_semi").select("id", "label").distinct(), "open")
+    pairs = _within(few)
+    if open_.head(1):
+        pairs = pairs.union(_rest(open_, texts))
+    more = _links(pairs, classes, texts)
     return connected_components(more.union(found.select("u", F.col("component").alias("v"))))
 
 
@@ -213,15 +271,24 @@ def _judged(docs: DataFrame) -> DataFrame:
         "every",
     )
     class_ids = every.select("k1", "k2", "id")
-    members = every.select("id", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    members = stored(members.join(shared, "band", "left_semi"), "members")
-    wanted = members.select("id").distinct()
-    classes = stored(every.join(wanted, "id", "left_semi").select("id", "digest", "n_shingles", "signature"), "classes")
-    # Of rows that repeat a doc_id and its text, one.
-    own = docs.join(classes.select("id", "id.doc_id", "digest"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
-    texts = stored(own.select("id", "text"), "texts")
-    found = _settle(members, classes, texts)
+
+    def components():
+        held = every.select("id", F.col("n_shingles").alias("size"), F.explode("bands").alias("band"))
+        member = lambda *first: F.min(F.struct(*first, "size", "id"))
+        hubs = held.groupBy("band").agg(
+            F.count("*").alias("n"), member().alias("least"), member(F.xxhash64("band", "id").alias("h")).alias("any")
+        ).filter("n > 1")
+        hub = lambda x: F.struct(F.col(f"{x}.size").alias("size"), F.col(f"{x}.id").alias("id"))
+        hubs = stored(hubs.select("band", F.array_distinct(F.array(hub("least"), hub("any"))).alias("hubs")), "hubs")
+        members = stored(held.join(hubs, "band", "left_semi"), "members")
+        wanted = members.select("id").distinct()
+        classes = stored(every.join(wanted, "id", "left_semi").select("id", "digest", "signature"), "classes")
+        # Of rows that repeat a doc_id and its text, one.
+        own = docs.join(classes.select("id", "id.doc_id", "digest"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
+        texts = stored(own.select("id", "text"), "texts")
+        return _settle(members, hubs, classes, texts)
+
+    found = settled(docs.sparkSession, components, "found")
     component = class_ids.join(found.withColumnRenamed("u", "id"), "id", "left").select(
         "k1", "k2", F.coalesce("component", "id").alias("component")
     )
@@ -253,7 +320,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Rows that repeat a doc_id with another text are judged on their own. Rows without doc_id stay, and null and
     empty texts.
     """
-    key = ["__doc_id", "__digest"]
+    key = fresh(docs, "doc_id", "digest")
     judged = _judged(docs).withColumnsRenamed({"doc_id": key[0], "digest": key[1]})
     gone = judged.filter(~F.col("kept")).select(key).distinct()
     keyed = docs.withColumns({key[0]: F.col("doc_id").cast("long"), key[1]: _digest(F.col("text"))})

@@ -72,6 +72,75 @@ def test_a_large_family_around_the_threshold(spark):
     assert found(spark, texts) == brute(texts)
 
 
+def compared(spark, monkeypatch, texts, **how):
+    """Pairs that are compared: candidates, and rows that meet at a shingle."""
+    n, links, meeting = [0], neardup._links, neardup._meeting
+
+    def counted_links(pairs, *others):
+        n[0] += pairs.distinct().count()
+        return links(pairs, *others)
+
+    def counted_meeting(held):
+        small, large = meeting(held)
+        key = neardup._KEY
+        a, b = (x.groupBy(key).agg(F.count("*").alias(name)) for x, name in ((small, "p"), (large, "q")))
+        n[0] += a.join(b, key).agg(F.sum(F.col("p") * F.col("q"))).first()[0] or 0
+        return small, large
+
+    with monkeypatch.context() as m:
+        m.setattr(neardup, "_links", counted_links)
+        m.setattr(neardup, "_meeting", counted_meeting)
+        for name, value in how.items():
+            m.setattr(neardup, name, value)
+        return found(spark, texts), n[0]
+
+
+def template(n, own, first=()):
+    """n texts of one template of 1000 words with own words behind, after the texts of `first` (numbers of own words)."""
+    rng = random.Random(9)
+    sizes = [*first, *(rng.randint(*own) for _ in range(n))]
+    body = " ".join(f"t{i}" for i in range(1000))
+    return [(k, " ".join([body, *(f"o{k}x{i}" for i in range(y))])) for k, y in enumerate(sizes)]
+
+
+def test_pairs_of_a_template_grow_with_its_texts(spark, monkeypatch):
+    # One text is linked with all others, no two of which are linked.
+    few, many = (compared(spark, monkeypatch, [*template(n, (95, 134)), (n, template(1, (10, 10))[0][1])]) for n in (300, 1200))
+    assert {c for _, c in few[0].values()} == {0} and {c for _, c in many[0].values()} == {0}
+    assert many[1] < 6 * few[1] and many[1] < 40 * 1200
+
+
+def test_pairs_of_a_template_without_a_good_hub(spark, monkeypatch):
+    # The smallest texts lack a part of the template and are linked with none; the others are with each other.
+    def texts(n):
+        words = [f"t{i}" for i in range(1000)]
+        lacking = [" ".join([*words[: 40 * k], *words[40 * k + 140 :], *(f"p{k}x{i}" for i in range(40))]) for k in range(20)]
+        return [*enumerate(lacking), *((20 + k, x) for k, x in template(n, (60, 88)))]
+
+    few, many = (compared(spark, monkeypatch, texts(n)) for n in (100, 400))
+    assert len({c for _, c in many[0].values()}) == 21 and many[1] < 5 * few[1]
+    # The exact stage alone: hubs of no use, no bucket small.
+    own = template(150, (95, 134), [10])
+    assert compared(spark, monkeypatch, own, LEAST_EQUAL=0, FEW=0)[0] == brute(own)
+
+
+def test_meeting_rows_of_one_template(spark):
+    # Rows of one shingle behind 95 to 134 of their own, each its own component, and one behind 10.
+    rows = [((k, 0), (k, 0), 1000 + y, y, 7) for k, y in enumerate([10, *(95 + k % 40 for k in range(5000))])]
+    kind = "struct<doc_id: long, row: long>"
+    small, large = neardup._meeting(spark.createDataFrame(rows, f"id {kind}, label {kind}, size long, at long, shingle long"))
+    met = small.join(large, neardup._KEY).count()
+    assert 5000 <= met <= 15_000
+
+
+def test_a_hub_with_many_candidates_is_dealt_out(spark, monkeypatch):
+    rng = random.Random(16)
+    base = [f"b{i}" for i in range(200)]
+    texts = [(i, " ".join(changed(base, rng.randint(0, 3), rng))) for i in range(120)]
+    monkeypatch.setattr(neardup, "CELL", 8)
+    assert found(spark, texts) == brute(texts)
+
+
 def test_short_empty_and_null(spark):
     texts = [(5, None), (1, ""), (2, " \n"), (3, "one two"), (4, "One  two"), (6, "one two three"), (7, "É x"), (8, "é x")]
     assert found(spark, texts) == {5: (0, 5), 1: (0, 1), 2: (0, 2), 3: (1, 3), 4: (1, 3), 6: (1, 6), 7: (1, 7), 8: (1, 8)}
