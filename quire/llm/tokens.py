@@ -1,6 +1,7 @@
 """Token ids of whole texts, written as Simple-8b files in ascending doc_id order and read back.
 
-Rows are dealt by ranges of doc_id, so a file holds a range and files follow each other. Each task writes one file
+Rows are dealt by ranges of doc_id (then of a hash of the text and of the partition that a row comes from, so that
+rows without an id, or with one, are several ranges), and files follow each other. Each task writes one file
 in the shared folder, whose name is its attempt's alone: a task that is run again, or twice at a time, writes
 another. A manifest of one row for each file, written as a table, tells where each file's ids start, and, as Spark
 commits the rows of one attempt only, which files count. Nothing is renamed, which not all storage can do.
@@ -8,6 +9,7 @@ commits the rows of one attempt only, which files count. Nothing is renamed, whi
 
 from __future__ import annotations
 
+import json
 import sys
 import uuid
 import zlib
@@ -16,12 +18,11 @@ from array import array
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import in_small_batches, rows, scratch
+from quire.llm.common import filesystem, in_small_batches, rows, scratch, shared_folder
 from quire.llm.simple8b import Reader, Writer
 
 END = 0
@@ -34,7 +35,33 @@ MET = 1 << 22
 #: Texts whose pieces are looked up together.
 TEXTS = 1024
 
-_tokenizers: dict[str, PieceIds] = {}
+_tokenizers: dict[str, PieceIds | WholeIds] = {}
+
+
+def splits_at_white_space(spec: dict) -> bool:
+    """Whether PieceIds' rule holds for a tokenizer (the content of its file): byte-level BPE with the usual pattern."""
+    pattern = spec.get("pre_tokenizer") or {}
+    return (
+        all(spec.get(x) is None for x in ("normalizer", "truncation", "padding"))
+        and pattern.get("type") == "ByteLevel" and pattern.get("use_regex", True) and not pattern.get("add_prefix_space", True)
+        and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout")
+        and not any(
+            x.get("lstrip") or x.get("rstrip") or x.get("single_word") or x.get("normalized") or any(c.isspace() for c in x["content"])
+            for x in spec.get("added_tokens", ())
+        )
+    )
+
+
+class WholeIds:
+    """Ids of whole texts, for any tokenizer."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has."""
+        found = [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4") for x in texts.to_pylist()]
+        return np.concatenate([np.empty(0, "<u4"), *found]), np.array([*map(len, found)], np.int64)
 
 
 class PieceIds(dict):
@@ -120,26 +147,24 @@ class PieceIds(dict):
         return np.frombuffer(b"".join(found), "<u4")[take], np.add.reduceat(size, starts) if len(starts) else size
 
 
-def _piece_ids(path: str) -> PieceIds:
+def ids_of(path: str) -> PieceIds | WholeIds:
     if path not in _tokenizers:
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = PieceIds(Tokenizer.from_file(path))
+        with open(path, encoding="utf-8") as file:
+            by_piece = splits_at_white_space(json.load(file))
+        _tokenizers[path] = (PieceIds if by_piece else WholeIds)(Tokenizer.from_file(path))
     return _tokenizers[path]
 
 
-def _filesystem(uri: str):
-    return pa.fs.FileSystem.from_uri(uri if ":/" in uri else f"file://{uri}")
-
-
 _MANIFEST = "file string, part int, documents long, ids long, bytes long"
 
 
 def _write(folder: str, tokenizer: str):
     def write(batches):
-        fs, root = _filesystem(folder)
+        fs, root = filesystem(folder)
         part = TaskContext.get().partitionId()
-        ids_of = _piece_ids(tokenizer)
+        coder = ids_of(tokenizer)
         name = f"part-{part:06d}-{uuid.uuid4().hex}.s8b"
         writer, stream = None, None
         end = np.array([END], np.uint32)
@@ -148,7 +173,7 @@ def _write(folder: str, tokenizer: str):
                 fs.create_dir(root, recursive=True)
                 stream = fs.open_output_stream(f"{root}/{name}")
                 writer = Writer(stream)
-            ids, lengths = ids_of.of(pc.fill_null(batch.column(1), ""))
+            ids, lengths = coder.of(pc.fill_null(batch.column(1), ""))
             at = 0
             for doc_id, n in zip(batch.column(0).to_pylist(), lengths.tolist(), strict=True):
                 writer.add(doc_id, np.concatenate((ids[at : at + n], end)))
@@ -167,11 +192,17 @@ def _write(folder: str, tokenizer: str):
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
     """Writes docs (doc_id, text) to files in `folder`; returns the manifest with `start`, the ids before a file.
 
-    Rows go by doc_id, nulls first; rows that repeat a doc_id by their text. Null is the empty text.
+    `folder` is one that Spark and Arrow both reach. Rows go by doc_id, nulls first; rows that repeat a doc_id by a
+    hash of their text. Null is the empty text.
     """
     spark = docs.sparkSession
-    own = in_small_batches(docs).select(F.col("doc_id").cast("long"), "text")
-    own = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    folder = shared_folder(spark, folder)
+    filesystem(folder)  # fails here rather than in a task
+    text = F.coalesce("text", F.lit(""))
+    own = in_small_batches(docs).select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    # Rows that repeat an id and a text are alike, so it doesn't matter which of them is in which range.
+    own = own.withColumn("origin", F.spark_partition_id()).repartitionByRange("doc_id", "hash", "origin")
+    own = own.sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
     own.mapInArrow(_write(folder, tokenizer), _MANIFEST).write.parquet(f"{folder}/manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # One row for each file.
@@ -182,9 +213,18 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
 _DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+#: Digests that are passed on together.
+DIGESTS = 10_000
+
+
+def _digests(out: list[tuple]) -> pa.RecordBatch:
+    columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _DIGEST.split(", ")])
+
+
 def _read(folder: str):
     def read(batches):
-        fs, root = _filesystem(folder)
+        fs, root = filesystem(folder)
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with fs.open_input_file(f"{root}/{name}") as stream:
@@ -192,8 +232,11 @@ def _read(folder: str):
                     for doc_id, ids in Reader(stream):
                         out.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                         start += len(ids)
-                    columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _DIGEST.split(", ")])
+                        if len(out) >= DIGESTS:
+                            yield _digests(out)
+                            out = []
+                    if out:
+                        yield _digests(out)
 
     return read
 
@@ -201,6 +244,7 @@ def _read(folder: str):
 def read_digests(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document in the files."""
     # A task for each file: Spark would put so few rows into one.
+    folder = shared_folder(manifest.sparkSession, folder)
     files = manifest.select("file", "start").repartition(max(1, manifest.count()))
     return files.mapInArrow(_read(folder), _DIGEST)
 
@@ -209,7 +253,8 @@ def token_digests(docs: DataFrame, tokenizer: str, folder: str | None = None) ->
     """Encodes, writes and reads back; one row for each row of docs (doc_id, text).
 
     start counts the ids of all documents before it (the end id of each included), ids_crc32 is of the ids as
-    little-endian unsigned 32-bit numbers. No rows give no files and no rows; other columns are not read.
+    little-endian unsigned 32-bit numbers. Null and empty texts have the end id alone. No rows give no files and no
+    rows; other columns are not read. Without `folder`, files go to the shared folder and stay till clear().
     """
     folder = folder or scratch(docs.sparkSession, "tokens")
     return read_digests(write_tokens(docs, folder, tokenizer), folder)

@@ -28,14 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import in_small_batches, rows, scratch, stored
-from quire.llm.tokens import _filesystem
+from quire.llm.common import filesystem, in_small_batches, rows, salted_join, scratch, shared_folder, stored
 
 REVISIT_BYTES = 1000
 #: Captures a block of the index.
 BLOCK = 512
 MAGIC = b"QCDX\x01\0\0\0"
-#: Fixed, so that reruns write the same bytes.
+#: What records say of the time of capture, which the tables lack: fixed, so that reruns write the same bytes.
 DATE = "2000-01-01T00:00:00Z"
 _PAGE = "urn:page:"
 
@@ -74,33 +73,55 @@ def planned(pages: DataFrame) -> DataFrame:
         F.lit(None).cast("long").alias("refers_to"),
     )
     long = own.filter(F.octet_length("payload") >= REVISIT_BYTES).select("key", "page_id", "digest")
-    groups = long.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
-    groups = groups.filter("n > 1 AND refers_to IS NOT NULL").drop("n")
-    revisits = long.join(groups, "digest").filter("NOT page_id <=> refers_to").distinct()
+    # Of rows that share the largest id, the one with the least key is the one that is referred to.
+    groups = long.groupBy("digest").agg(
+        F.min(F.when(F.col("page_id").isNotNull(), F.struct(-F.col("page_id"), "key"))).alias("first"),
+        F.max("page_id").alias("refers_to"),
+        F.count("*").alias("n"),
+    )
+    groups = groups.filter("n > 1 AND refers_to IS NOT NULL").select("digest", "refers_to", _name("refers_to", "first.key").alias("name"))
+    # A popular payload has many revisits; its row is there for each cell of them.
+    revisits = salted_join(long.distinct(), groups, ["digest"], "key").filter("NOT page_id <=> refers_to")
     marks = stored(revisits, "revisits").select(
-        "key", "page_id", "digest", F.lit(0).alias("mark"), F.lit(None).cast("string").alias("url"),
+        "key", "page_id", "digest", F.lit(0).alias("mark"), F.col("name").alias("url"),
         F.lit(None).cast("binary").alias("payload"), "refers_to",
     )
     return own.union(marks)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """A WARC/1.1 record as one gzip member."""
-    kind, body = ("response", payload) if refers_to is None else ("revisit", b"")
+def _name(page_id: str, key: str) -> Column:
+    """page_id and a hash of the key: what a record's id is made of."""
+    return F.concat_ws(":", F.coalesce(F.col(page_id).cast("string"), F.lit("none")), F.substring(F.sha1(F.col(key)), 1, 16))
+
+
+def name_of(page_id: int | None, key: str) -> str:
+    """As _name."""
+    return f"{'none' if page_id is None else page_id}:{hashlib.sha1(key.encode()).hexdigest()[:16]}"
+
+
+#: The head of the HTTP message of which a payload is the body; its length is put in.
+HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
+
+
+def record(name: str, url: str | None, payload: bytes, digest: str, refers_to: str | None, date: str = DATE) -> bytes:
+    """A WARC/1.1 record as one gzip member. name and refers_to are what ids are made of."""
+    kind, block = ("response", HTTP.format(len(payload)).encode() + payload) if refers_to is None else ("revisit", b"")
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <{_PAGE}{'none' if page_id is None else page_id}>",
-        f"WARC-Date: {DATE}",
+        f"WARC-Record-ID: <{_PAGE}{name}>",
+        f"WARC-Date: {date}",
         f"WARC-Payload-Digest: sha1:{digest}",
     ]
     if url is not None:
         lines.append("WARC-Target-URI: " + re.sub(r"[\r\n]", " ", url))
-    if refers_to is not None:
+    if refers_to is None:
+        lines.append("Content-Type: application/http; msgtype=response")
+    else:
         lines.append(f"WARC-Refers-To: <{_PAGE}{refers_to}>")
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-    lines.append(f"Content-Length: {len(body)}")
-    return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n", 4, mtime=0)
+    lines.append(f"Content-Length: {len(block)}")
+    return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 4, mtime=0)
 
 
 def parsed(member: bytes) -> tuple[dict[str, str], bytes]:
@@ -111,6 +132,11 @@ def parsed(member: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[: int(headers["Content-Length"])]
 
 
+def payload_of(block: bytes) -> bytes:
+    """The body of an HTTP message."""
+    return block.partition(b"\r\n\r\n")[2]
+
+
 class IndexWriter:
     """Captures in key order, in compressed blocks, then the directory of first keys, its length and the magic."""
 
@@ -175,24 +201,27 @@ def _batch(schema: str, kinds: list, out: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def _write(folder: str):
+def _write(folder: str, date: str):
     def write(batches):
-        fs, root = _filesystem(folder)
+        fs, root = filesystem(folder)
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}.warc.gz"
-        stream, index, offset, revisit = None, None, 0, (None, None)
+        stream, index, offset, revisit, last, again = None, None, 0, (None, None, None), None, 0
         for batch in rows(batches):
             for key, page_id, digest, mark, url, payload, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not mark:
-                    revisit = (key, page_id, digest), first
+                    revisit = (key, page_id, digest), first, url
                     continue
-                refers_to = revisit[1] if revisit[0] == (key, page_id, digest) else None
                 if stream is None:
                     fs.create_dir(root, recursive=True)
                     stream = fs.open_output_stream(f"{root}/{name}", compression=None)
                     of_index = fs.open_output_stream(f"{root}/{name}.cdx", compression=None)
                     index = IndexWriter(of_index)
-                data = record(page_id, url, payload, digest, refers_to)
+                # The first record of a page and URL is named after them; others after their place, too.
+                again = again + 1 if last == (key, page_id) else 0
+                last = key, page_id
+                own = name_of(page_id, key) + (f":{part}.{index.n}" if again or page_id is None else "")
+                data = record(own, url, payload, digest, revisit[2] if revisit[0] == (key, page_id, digest) else None, date)
                 stream.write(data)
                 index.add(key, page_id, offset, len(data))
                 offset += len(data)
@@ -206,28 +235,37 @@ def _write(folder: str):
     return write
 
 
-def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes a record for each row of pages (page_id, url, html); returns the manifest."""
-    # A host or URL with many captures is split between ranges by page_id.
-    dealt = planned(pages).repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "digest", "mark")
-    dealt.mapInArrow(_write(folder), _MANIFEST).write.parquet(f"{folder}/manifest")
+def write_archives(pages: DataFrame, folder: str, date: str = DATE) -> DataFrame:
+    """Writes a record for each row of pages (page_id, url, html); returns the manifest.
+
+    `folder` is one that Spark and Arrow both reach. Rows that repeat a page_id and URL are in one task.
+    """
+    folder = shared_folder(pages.sparkSession, folder)
+    filesystem(folder)  # fails here rather than in a task
+    # A host or URL with many captures is split between ranges by page_id, captures without one by their digest.
+    dealt = planned(pages).withColumn("apart", F.when(F.col("page_id").isNull(), F.col("digest")))
+    dealt = dealt.repartitionByRange("key", "page_id", "apart").drop("apart")
+    dealt = dealt.sortWithinPartitions("key", "page_id", "digest", "mark")
+    dealt.mapInArrow(_write(folder, date), _MANIFEST).write.parquet(f"{folder}/manifest")
     return pages.sparkSession.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
 
 _RECORD = "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long"
+_PLACED = f"{_RECORD}, at long"
 
 
 def _page(text: str | None) -> int | None:
-    found = re.fullmatch(rf"<{_PAGE}(-?\d+)>", text or "")
+    found = re.match(rf"<{_PAGE}(-?\d+):", text or "")
     return int(found[1]) if found else None
 
 
 def _row(member: bytes) -> tuple:
-    headers, payload = parsed(member)
+    headers, block = parsed(member)
     kind, stated = headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha1:")
     ids = _page(headers["WARC-Record-ID"]), _page(headers.get("WARC-Refers-To"))
     if kind == "revisit":
         return ids[0], kind, ids[1], stated, None
+    payload = payload_of(block)
     if (digest := hashlib.sha1(payload).hexdigest()) != stated:
         raise ValueError(f"record {ids[0]}: the payload's digest is {digest}, not {stated}")
     return ids[0], kind, None, digest, len(payload)
@@ -238,7 +276,7 @@ _RECORD_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
 def _read(folder: str):
     def read(batches):
-        fs, root = _filesystem(folder)
+        fs, root = filesystem(folder)
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 with fs.open_input_file(f"{root}/{name}.cdx") as of_index, fs.open_input_file(f"{root}/{name}") as archive:
@@ -247,14 +285,14 @@ def _read(folder: str):
                         out = []
                         for _, _, offset, length in index.block(i):
                             archive.seek(offset)
-                            out.append(_row(archive.read(length)))
-                        yield _batch(_RECORD, _RECORD_KINDS, out)
+                            out.append((*_row(archive.read(length)), offset))
+                        yield _batch(_PLACED, [*_RECORD_KINDS, pa.int64()], out)
 
     return read
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """Gives each revisit the size of the payload of the response that it refers to; none if that is missing."""
+    """records (of _PLACED) without their place. Gives each revisit the size of the payload of the response that it refers to; none if that is missing."""
     responses = records.filter("record_type = 'response'")
     whole = (
         responses.filter(F.col("payload_bytes") >= REVISIT_BYTES)
@@ -263,16 +301,18 @@ def resolved(records: DataFrame) -> DataFrame:
     )
     revisits = records.filter("record_type = 'revisit'").drop("payload_bytes")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    joined = revisits.join(whole, ["refers_to", "payload_digest"], "left")
-    return responses.select(*columns).unionByName(joined.select(*columns))
+    joined = salted_join(revisits, whole, ["refers_to", "payload_digest"], "at")
+    lost = revisits.join(whole, ["refers_to", "payload_digest"], "left_anti").withColumn("payload_bytes", F.lit(None).cast("long"))
+    return responses.select(*columns).unionByName(joined.select(*columns)).unionByName(lost.select(*columns))
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each record that the index lists."""
     # Stored, as revisits and the responses that they refer to come from the same pass over the archives.
     # A task for each archive: Spark would put so few rows into one.
+    folder = shared_folder(manifest.sparkSession, folder)
     files = manifest.select("file").repartition(max(1, manifest.count()))
-    return resolved(stored(files.mapInArrow(_read(folder), _RECORD), "records"))
+    return resolved(stored(files.mapInArrow(_read(folder), _PLACED), "records"))
 
 
 def archived(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -280,7 +320,7 @@ def archived(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
     Null html is an empty payload, a null url an empty key. A row without page_id revisits a response with an id,
     if there is one. Rows that repeat the largest page_id of a payload are all responses. No rows give no files
-    and no rows; other columns are not read.
+    and no rows; other columns are not read. Without `folder`, files go to the shared folder and stay till clear().
     """
     folder = folder or scratch(pages.sparkSession, "warc")
     return read_archives(write_archives(pages, folder), folder)
@@ -292,6 +332,7 @@ def lookup(spark: SparkSession, folder: str, urls: list[str]) -> DataFrame:
     The manifest, one row for each archive, is bisected on the driver; blocks and records are read by tasks.
     """
     shards = sorted((r["first_key"], r["last_key"], r["file"]) for r in spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest").collect())
+    folder = shared_folder(spark, folder)
     wanted = []
     for url in urls:
         key = key_of(url)
@@ -301,7 +342,7 @@ def lookup(spark: SparkSession, folder: str, urls: list[str]) -> DataFrame:
     schema = f"url string, {_RECORD}"
 
     def find(batches):
-        fs, root = _filesystem(folder)
+        fs, root = filesystem(folder)
         for batch in batches:
             out = []
             for url, key, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):

@@ -120,7 +120,8 @@ def test_token_digests(spark, tmp_path):
     own = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit("x")).repartition(5)
     out = [tuple(r) for r in token_digests(own, tokenizer_path(), str(tmp_path / "t")).orderBy("start").collect()]
     start, wanted = 0, []
-    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1] or "")):
+    hashed = {r["text"]: r["h"] for r in own.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0], hashed[r[1]])):
         ids = np.array(pieces().tokenizer.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
         wanted.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
@@ -324,3 +325,90 @@ def test_pipeline_against_its_parts(spark):
         wanted.append((r["doc_id"], start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert sorted(map(tuple, last), key=lambda r: r[1]) == wanted
+
+
+def test_names_of_folders(spark, tmp_path, monkeypatch):
+    from quire.llm import common
+
+    assert common.shared_folder(spark, str(tmp_path)) == f"file:{tmp_path}"
+    assert common.arrow_uri("s3a://bucket/a/b") == "s3://bucket/a/b" and common.arrow_uri("file:/a b") == "file:///a b"
+    assert common.arrow_uri("hdfs://host:8020/a") == "hdfs://host:8020/a" and common.arrow_uri("file:///a") == "file:///a"
+    with pytest.raises(ValueError):
+        common.arrow_uri("/a/b")
+    # A path without scheme goes where the default file system is; a machine's own disk is refused on a cluster.
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    before = hadoop.get("fs.defaultFS")
+    try:
+        hadoop.set("fs.defaultFS", "viewfs://store/")
+        hadoop.set("fs.viewfs.mounttable.store.link./in", f"file://{tmp_path}")
+        assert common.shared_folder(spark, "/in/x") == "viewfs://store/in/x"
+    finally:
+        hadoop.set("fs.defaultFS", before)
+    monkeypatch.setattr(common, "_is_local", lambda spark: False)
+    with pytest.raises(ValueError):
+        common.shared_folder(spark, "/elsewhere/tokens")
+    named = spark.conf.get("spark.checkpoint.dir")
+    assert common.shared_folder(spark, f"{named}/x") == f"file:{named}/x"
+
+
+def test_intermediate_tables_are_removed(spark, tmp_path):
+    from quire.llm import common
+    from quire.llm.neardup import near_duplicates
+
+    root = spark.conf.get("spark.checkpoint.dir")
+    common.clear(spark)
+    before = set(os.listdir(root))
+    kept = common.settled(spark, lambda: near_duplicates(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")), "kept")
+    assert len(set(os.listdir(root)) - before) == 1 and kept.count() == 2
+    common.discard(kept)
+    token_digests(spark.createDataFrame([(1, "a")], "doc_id long, text string"), tokenizer_path()).collect()
+    assert len(set(os.listdir(root)) - before) == 1
+    common.clear(spark)
+    assert set(os.listdir(root)) == before
+
+
+def test_records_are_whole_responses(spark, tmp_path):
+    rows = [(1, "http://a.example/", "x" * 1000), (1, "http://a.example/", "y"), (2, "http://b.example/", "x" * 1000), (None, "http://a.example/", "z"), (None, "http://a.example/", "z"), (None, "http://c.example/", "x" * 1000)]
+    folder = str(tmp_path / "w")
+    assert warc.archived(spark.createDataFrame(rows, PAGES), folder).count() == 6
+    ids, referred = [], []
+    for r in spark.read.parquet(f"{folder}/manifest").collect():
+        with open(f"{folder}/{r['file']}", "rb") as file, open(f"{folder}/{r['file']}.cdx", "rb") as of_index:
+            index = warc.Index(of_index)
+            for i in range(len(index.directory)):
+                for _, _, offset, length in index.block(i):
+                    file.seek(offset)
+                    headers, block = warc.parsed(file.read(length))
+                    ids.append(headers["WARC-Record-ID"])
+                    if headers["WARC-Type"] == "response":
+                        head, _, body = block.partition(b"\r\n\r\n")
+                        assert headers["Content-Type"] == "application/http; msgtype=response"
+                        assert head.startswith(b"HTTP/1.1 200 OK\r\n") and f"Content-Length: {len(body)}".encode() in head
+                    else:
+                        referred.append(headers["WARC-Refers-To"])
+    assert len(set(ids)) == 6 and len(referred) == 2 and set(referred) <= set(ids)
+
+
+def test_tokens_of_any_tokenizer(spark):
+    import public_tokenizers
+
+    from quire.llm import tokens
+
+    assert isinstance(tokens.ids_of(tokenizer_path()), tokens.PieceIds)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert isinstance(tokens.ids_of(path), tokens.WholeIds)
+    rows = [(i, t) for i, t in enumerate(["", "A  bc", "x\ny", "Some  words, and more"])]
+    out = token_digests(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
+    coder = tokens.ids_of(path).tokenizer
+    assert {r["doc_id"]: r["n_tokens"] for r in out} == {i: len(coder.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows}
+
+
+def test_rows_that_share_an_id_are_dealt_to_many_files(spark, tmp_path):
+    rows = [(None, "no id")] * 3000 + [(7, f"w{i}") for i in range(3000)]
+    own = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = write_tokens(own, str(tmp_path / "t"), tokenizer_path()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(manifest) == 4 and max(r["documents"] for r in manifest) < 3000
