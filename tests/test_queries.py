@@ -1,4 +1,6 @@
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -23,3 +25,11 @@ def test_entry_names_every_query():
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_entry_without_a_library_of_the_optional_part():
+    code = (
+        "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e;"
+        "from quire.queries import QUERIES, SQL; assert set(e.queries()) == set(QUERIES); assert set(e.oracle_sql()) == set(SQL)"
+    )
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(entry.__file__))
