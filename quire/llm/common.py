@@ -37,14 +37,28 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def space_words(data: bytes) -> list[bytes]:
-    """Words of SPACE_WORD, A-Z in lower case. bytes.split() takes the same six separators."""
-    return data.lower().split()
+#: Bytes of a text whose words are Python objects at a time.
+CHUNK = 1 << 20
+_SPACE_BYTE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def alnum_words(data: bytes) -> list[bytes]:
-    """Words of ALNUM_WORD in lower case."""
-    return data.translate(ALNUM_TABLE).split()
+def space_words(data: bytes) -> Iterator[list[bytes]]:
+    """Words of SPACE_WORD, A-Z in lower case, chunk by chunk. bytes.split() takes the same six separators."""
+    at = 0
+    while len(data) - at > CHUNK and (end := _SPACE_BYTE.search(data, at + CHUNK)):
+        yield data[at : end.start()].lower().split()
+        at = end.start()
+    yield (data[at:] if at else data).lower().split()
+
+
+def alnum_words(data: bytes) -> Iterator[list[bytes]]:
+    """Words of ALNUM_WORD in lower case, chunk by chunk."""
+    at = 0
+    data = data.translate(ALNUM_TABLE)
+    while len(data) - at > CHUNK and (end := data.find(b" ", at + CHUNK)) >= 0:
+        yield data[at:end].split()
+        at = end
+    yield (data[at:] if at else data).split()
 
 
 class WordHashes(dict):
@@ -60,8 +74,10 @@ class WordHashes(dict):
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    def of(self, chunks: Iterable[list[bytes]]) -> np.ndarray:
+        """The hashes of all words of a text."""
+        found = [np.fromiter(map(self.__getitem__, words), np.uint64, len(words)) for words in chunks]
+        return found[0] if len(found) == 1 else np.concatenate(found)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -80,11 +96,12 @@ def window_hashes(word_hashes: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
-def shingle_set(words: list[bytes], hashes: WordHashes, k: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles; of fewer words, one for the whole sequence."""
-    if not words:
+def shingle_set(data: bytes, hashes: WordHashes, k: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the k-word shingles of a text; of fewer words, one for the whole sequence."""
+    words = hashes.of(space_words(data))
+    if not len(words):
         return np.empty(0, np.uint64)
-    return np.unique(window_hashes(hashes.of(words), min(k, len(words))))
+    return np.unique(window_hashes(words, min(k, len(words))))
 
 
 def rows(batches: Iterable[pa.RecordBatch], step: int = 256) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import WordHashes, fresh, in_small_batches, mixed, rows, settled, shingle_set, space_words, stored
+from quire.llm.common import WordHashes, fresh, in_small_batches, mixed, rows, settled, shingle_set, stored
 from quire.llm.components import connected_components
 
 SHINGLE, BANDS, ROWS = 5, 24, 5
@@ -82,7 +82,7 @@ def _sign(batches):
     for batch in rows(batches):
         out = []
         for doc_id, data, digest in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            full = shingle_set(space_words(data or b""), hashes, SHINGLE)
+            full = shingle_set(data or b"", hashes, SHINGLE)
             if len(full):
                 key = np.frombuffer(xxhash.xxh3_128_digest(full.tobytes()), np.int64)
                 signature = minima(full)
@@ -103,8 +103,8 @@ def _confirm(batches):
         a, b, text_a, text_b = (batch.column(i).to_pylist() for i in range(4))
         for i in range(len(a)):
             if last is None or last != (b[i], text_b[i]):
-                last, of_last = (b[i], text_b[i]), shingle_set(space_words(text_b[i] or b""), hashes, SHINGLE)
-            one = shingle_set(space_words(text_a[i] or b""), hashes, SHINGLE)
+                last, of_last = (b[i], text_b[i]), shingle_set(text_b[i] or b"", hashes, SHINGLE)
+            one = shingle_set(text_a[i] or b"", hashes, SHINGLE)
             if 100 * min(len(one), len(of_last)) >= PERCENT * max(len(one), len(of_last)):
                 both = len(np.intersect1d(one, of_last, assume_unique=True))
                 keep.append(100 * both >= PERCENT * (len(one) + len(of_last) - both))
@@ -138,7 +138,7 @@ def _counters(batches):
     hashes, total = WordHashes(), np.zeros(1 << SKETCH_BITS, np.int64)
     for batch in rows(batches):
         for data in batch.column(0).to_pylist():
-            full = shingle_set(space_words(data or b""), hashes, SHINGLE)
+            full = shingle_set(data or b"", hashes, SHINGLE)
             total += np.bincount((full >> np.uint64(64 - SKETCH_BITS)).view(np.int64), minlength=len(total))
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["counter", "n"])
@@ -150,7 +150,7 @@ def _prefixes(sketch):
         for batch in rows(batches):
             ids, sizes, prefixes = batch.column(0), [], []
             for data in batch.column(1).to_pylist():
-                full = shingle_set(space_words(data or b""), hashes, SHINGLE)
+                full = shingle_set(data or b"", hashes, SHINGLE)
                 # Sets of n and m >= PERCENT/100 n shingles share PERCENT/100 n at least, so of the first
                 # n - ceil(PERCENT/100 n) + 1 one must be among the other's.
                 least = -(-PERCENT * len(full) // 100)

@@ -1,9 +1,11 @@
 """Quality rules, decontamination, license scan: cases that the tables don't have."""
 
 import hashlib
+import os
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +183,77 @@ def test_licenses_of_repeated_rows(spark):
 def test_licenses_run_without_python(spark):
     plan = licenses(docs(spark, "a"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_windows_of_a_block_take_little_memory():
+    import pickle
+    import time
+    import tracemalloc
+
+    rng = random.Random(3)
+    vocabulary = [f"word{i}" for i in range(50_000)]
+    items = [(str(i), " ".join(rng.choice(vocabulary) for _ in range(200)).encode()) for i in range(2100)]
+    assert sum(len(x) for _, x in items) > 3_900_000
+    sent = pickle.dumps(decontaminate.Windows(items))
+    tracemalloc.start()
+    own = pickle.loads(sent)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 40 << 20 and len(sent) < 20 << 20
+    texts = [items[7][1][50:400], b"x " * 50, items[9][1]]
+    assert own.scan(texts).items == [["7"], [], ["9"]]
+    began = time.process_time()
+    many = decontaminate.Windows([(str(i), b"few words") for i in range(40_000)])
+    assert len(many.scan([b"a few words"]).items[0]) == 40_000 and time.process_time() - began < 5
+
+
+def test_hits_end_with_their_text():
+    own = decontaminate.Windows([("1", b"a b c"), ("2", b"x y")])
+    found = own.scan([b"a b", b"c x y", None, b"x y", b"x y a b c x", b"", b"y x"])
+    spans = [list(zip(found.starts[i:j].tolist(), found.ends[i:j].tolist(), strict=True)) for i, j in zip(found.offsets, found.offsets[1:], strict=False)]
+    assert spans == [[], [(1, 3)], [], [(0, 2)], [(0, 5)], [], []]
+    assert found.items == [[], ["2"], [], ["2"], ["1", "2"], [], []] and found.n_hit().tolist() == [0, 2, 0, 2, 5, 0, 0]
+    assert found.n_words.tolist() == [2, 3, 0, 2, 6, 0, 2]
+    empty = decontaminate.Windows([])
+    assert empty.scan([b"a b", None]).n_hit().tolist() == [0, 0] and empty.scan([]).items == []
+
+
+def test_hits_of_equal_hashes_are_verified(monkeypatch):
+    monkeypatch.setattr(decontaminate, "rolled", lambda numbers, n: np.zeros(max(0, len(numbers) - n + 1), np.uint64))
+    items = [("1", ITEM.encode()), ("2", (ITEM + " and night").encode()), ("3", b"one two three"), ("1", b"one two three")]
+    own = decontaminate.Windows(items)
+    for text in (ITEM, ITEM.replace("fox", "cat"), "so one two three", ITEM + " and night one two three"):
+        found = own.scan([text.encode(), text.encode()])
+        n, hit, digest = brute_hits(text, [(i, x.decode()) for i, x in items])
+        assert found.n_words.tolist() == [n, n] and found.n_hit().tolist() == [hit, hit]
+        assert hashlib.sha256(",".join(found.items[1]).encode()).hexdigest() == digest
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_query_in_several_blocks_equals_its_sql(spark, monkeypatch):
+    from quire.llm.queries import QUERIES, SQL
+    from tests.oracle import same
+
+    found, blocks = decontaminate._blocks, []
+
+    def small(docs, benchmark, window, block_chars):
+        blocks.extend(out := found(docs, benchmark, window, 2000))
+        return out
+
+    monkeypatch.setattr(decontaminate, "_blocks", small)
+    same(spark, "/root/testdata/sf0.001", QUERIES["op3_decontamination"], SQL["op3_decontamination"])
+    assert len(blocks) > 2
+
+
+def test_long_texts_are_split_in_chunks(monkeypatch):
+    from quire.llm import common
+
+    rng = random.Random(8)
+    data = "".join(rng.choice("aB9 \n\t.é-") for _ in range(5000)).encode()
+    whole = [list(common.space_words(data)), list(common.alnum_words(data))]
+    assert len(whole[0]) == len(whole[1]) == 1
+    monkeypatch.setattr(common, "CHUNK", 64)
+    for f, (all_words,) in zip((common.space_words, common.alnum_words), whole, strict=True):
+        parts = list(f(data))
+        assert len(parts) > 20 and [w for x in parts for w in x] == all_words
+    assert [len(x) for x in common.space_words(b"x" * 500)] == [1] and list(common.alnum_words(b"")) == [[]]
