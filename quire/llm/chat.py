@@ -5,8 +5,9 @@ with its place, and the running sums of these hashes identify each prefix of a c
 keep the smallest id; an anti-join drops those that are a proper prefix of another; the turns of the rest are
 rendered, one row each, so no conversation ever has to be a single value.
 
-Running sums and places go over segments of `SEGMENT` turn numbers, and then over segments: a conversation that
-holds a large share of the log is spread over many tasks.
+Running sums and places go over the rows of one turn, in parts by their hash, then over the turns of blocks of
+`SEGMENT` turn numbers, and then over blocks: a conversation that holds a large share of the log is spread over many
+tasks, and so are many rows of one turn. Only hashes go through all that; texts are shuffled once.
 """
 
 from __future__ import annotations
@@ -14,7 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.common import stored
+
 SEGMENT = 256
+#: Hexadecimal digits of the hash of role and text by which rows of one turn are dealt to parts.
+PART = 2
 #: Four sums of 32-bit hashes stand for a prefix.
 LANES = ("l0", "l1", "l2", "l3")
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -22,40 +27,56 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 TRAINED = ("assistant",)
 
 
-def turns(rows: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text, c1 and c2 (hashes of role and text), each distinct turn once."""
-    content = lambda seed: F.xxhash64(F.lit(seed), F.col("role").isNull(), "role", F.col("text").isNull(), "text")
-    own = rows.select("conv_id", "turn", "role", "text", content(1).alias("c1"), content(2).alias("c2"))
-    return own.dropDuplicates(["conv_id", "turn", "c1", "c2"])
+def identified(rows: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text, tie (a hash of role and text) and spot (of the turn, too), neither of them null."""
+    md5 = lambda x: F.coalesce(F.md5(F.col(x).cast("binary")), F.lit("-"))
+    tie = F.md5(F.concat(md5("role"), md5("text")).cast("binary"))
+    own = rows.select("conv_id", "turn", "role", "text", tie.alias("tie"))
+    return own.withColumn("spot", F.md5(F.concat_ws(" ", F.coalesce(F.col("turn").cast("string"), F.lit("-")), "tie").cast("binary")))
+
+
+def _sums_before(spots: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """spots with, for each name, the sum over its conversation's earlier spots (before_) and over them all (all_).
+
+    spots (conv_id, block, turn, part, tie and names) are summed in cells of one turn and part, cells in blocks, blocks
+    in conversations. No task gets more than a cell's spots, a block's cells or a conversation's blocks.
+    """
+    cell, block = ["conv_id", "block", "turn", "part"], Window.partitionBy("conv_id", "block")
+    turn, none = F.col("turn").asc_nulls_first(), F.lit(0).cast("long")
+    earlier = lambda w, x: F.coalesce(F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, -1)), none)
+    cells = spots.groupBy(*cell).agg(*(F.sum(x).alias(x) for x in names))
+    blocks = cells.groupBy("conv_id", "block").agg(*(F.sum(x).alias(x) for x in names))
+    whole, over = Window.partitionBy("conv_id"), Window.partitionBy("conv_id").orderBy(F.col("block").asc_nulls_first())
+    bases = blocks.select("conv_id", "block", *(earlier(over, x).alias(f"base_{x}") for x in names), *(F.sum(x).over(whole).alias(f"all_{x}") for x in names))
+    offsets = cells.select(*cell, *(earlier(block.orderBy(turn, "part"), x).alias(f"in_{x}") for x in names))
+    placed = _join(offsets, bases, ["conv_id", "block"]).select(
+        *cell, *(f"all_{x}" for x in names), *((F.col(f"in_{x}") + F.col(f"base_{x}")).alias(f"from_{x}") for x in names)
+    )
+    own = Window.partitionBy(*cell).orderBy("tie")
+    ranked = spots.select("*", *(earlier(own, x).alias(f"own_{x}") for x in names))
+    return _join(ranked, placed, cell).select(
+        *spots.columns, *(f"all_{x}" for x in names), *((F.col(f"own_{x}") + F.col(f"from_{x}")).alias(f"before_{x}") for x in names)
+    )
+
+
+def _lanes(n: Column) -> list[Column]:
+    low, halves = F.lit(0xFFFFFFFF), (F.xxhash64(n, "tie"), F.xxhash64("tie", n))
+    found = [x for h in halves for x in (F.shiftrightunsigned(h, 32), h.bitwiseAND(low))]
+    return [x.alias(lane) for x, lane in zip(found, LANES, strict=True)]
+
 
+def prefixes(spots: DataFrame) -> DataFrame:
+    """conv_id, n (turns of the prefix), the lanes, and n_turns (of the whole conversation), for each spot.
 
-def prefixes(distinct: DataFrame) -> DataFrame:
-    """conv_id, n (turns of the prefix), the lanes, and n_turns (of the whole conversation), for each turn."""
-    seg = F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / SEGMENT)
-    narrow = distinct.select("conv_id", "turn", "c1", "c2", seg.alias("seg"))
-    inner = Window.partitionBy("conv_id", "seg").orderBy(F.col("turn").asc_nulls_first(), "c1", "c2")
-    over, whole = Window.partitionBy("conv_id").orderBy("seg"), Window.partitionBy("conv_id")
-    before = over.rowsBetween(Window.unboundedPreceding, -1)
-    lengths = narrow.groupBy("conv_id", "seg").agg(F.count("*").alias("m"))
-    offsets = lengths.select(
-        "conv_id", "seg", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("offset"), F.sum("m").over(whole).alias("n_turns")
+    spots: conv_id (not null), turn, tie, each once.
+    """
+    keyed = spots.select(
+        "conv_id", "turn", "tie", F.floor(F.col("turn") / SEGMENT).alias("block"), F.substring("tie", 1, PART).alias("part"), F.lit(1).cast("long").alias("one")
     )
-    placed = _join(narrow.withColumn("rank", F.row_number().over(inner)), offsets, ["conv_id", "seg"])
-    n = F.col("rank") + F.col("offset")
-    low = F.lit(0xFFFFFFFF)
-    hashed = placed.select("conv_id", "seg", "rank", "n_turns", n.alias("n"), *(
-        half.alias(lane)
-        for lane, half in zip(LANES, (
-            F.shiftrightunsigned(F.xxhash64(n, "c1", "c2"), 32), F.xxhash64(n, "c1", "c2").bitwiseAND(low),
-            F.shiftrightunsigned(F.xxhash64("c2", n, "c1"), 32), F.xxhash64("c2", n, "c1").bitwiseAND(low),
-        ), strict=True)
-    ))
-    running = Window.partitionBy("conv_id", "seg").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    sums = hashed.groupBy("conv_id", "seg").agg(*(F.sum(x).alias(x) for x in LANES))
-    bases = sums.select("conv_id", "seg", *(F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"b_{x}") for x in LANES))
-    summed = hashed.select("conv_id", "seg", "n", "n_turns", *(F.sum(x).over(running).alias(x) for x in LANES))
-    joined = _join(summed, bases, ["conv_id", "seg"])
-    return joined.select("conv_id", "n", "n_turns", *((F.col(x) + F.col(f"b_{x}")).alias(x) for x in LANES))
+    n = F.col("before_one") + 1
+    counted = _sums_before(keyed, ("one",)).select(*keyed.columns, n.alias("n"), F.col("all_one").alias("n_turns"), *_lanes(n))
+    summed = _sums_before(counted.drop("one"), LANES)
+    return summed.select("conv_id", "n", "n_turns", *((F.col(f"before_{x}") + F.col(x)).alias(x) for x in LANES))
 
 
 def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -64,17 +85,39 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    joined = left.join(other, same, how)
-    return joined if how in ("left_semi", "left_anti") else joined.drop(*(f"__{k}" for k in keys))
+    return left.join(other, same, how).drop(*(f"__{k}" for k in keys))
+
 
+def formatted(rows: DataFrame) -> DataFrame:
+    """One row for each distinct turn of each maximal conversation: conv_id, n_turns, turn, role, trained, rendered.
 
-def maximal(rows: DataFrame) -> DataFrame:
-    """conv_id and n_turns of the conversations that are no prefix of another; of equal ones, the smallest id."""
-    found = prefixes(turns(rows))
+    rows: conv_id, turn, role, text. Turns go by turn (null first), then by a hash of role and text where they
+    tie; a row that repeats another counts once. Of equal conversations the one of the smallest id stays. A row
+    without conv_id is a conversation of one turn; of equal ones the smallest turn stays, and none that another
+    conversation begins with. A null role is `unknown`, a null text empty. No rows give no rows; other columns are
+    not read.
+    """
+    own = identified(rows)
+    named = own.filter("conv_id IS NOT NULL")
+    spots = stored(named.select("conv_id", "turn", "tie", "spot").dropDuplicates(["conv_id", "spot"]), "spots")
+    found = stored(prefixes(spots), "prefixes")
     key = ["n", *LANES]
     whole = found.filter("n = n_turns").groupBy(*key).agg(F.min("conv_id").alias("conv_id"))
     proper = found.filter("n < n_turns").select(*key).distinct()
-    return whole.join(proper, key, "left_anti").select("conv_id", F.col("n").alias("n_turns"))
+    maximal = whole.join(proper, key, "left_anti").select("conv_id", F.col("n").alias("n_turns"))
+    kept = spots.join(maximal, "conv_id").select("conv_id", "spot", "n_turns")
+    # Texts are shuffled once, repeated rows no more than once from each task.
+    turns = named.dropDuplicates(["conv_id", "spot"]).join(kept, ["conv_id", "spot"])
+    one = F.lit(1).cast("long")
+    alone = own.filter("conv_id IS NULL").groupBy("role", "text", "tie").agg(F.min("turn").alias("turn"))
+    alone = alone.select("role", "text", "turn", *_lanes(one)).join(found.filter("n = 1").select(*LANES).distinct(), list(LANES), "left_anti")
+    columns = ["conv_id", "n_turns", "turn", "role", "text"]
+    every = turns.select(columns).union(alone.select(F.lit(None).cast(rows.schema["conv_id"].dataType), one, "turn", "role", "text"))
+    return every.select(
+        "conv_id", "n_turns", "turn", "role",
+        F.coalesce(F.col("role").isin(*TRAINED), F.lit(False)).alias("trained"),
+        rendered(F.col("role"), F.col("text")).alias("rendered"),
+    )
 
 
 def rendered(role: Column, text: Column) -> Column:
@@ -82,18 +125,3 @@ def rendered(role: Column, text: Column) -> Column:
     safe = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit(OPEN), F.lit("<| im_start |>")), F.lit(CLOSE), F.lit("<| im_end |>"))
     clean_role = F.regexp_replace(F.coalesce(role, F.lit("unknown")), r"[\s<|>]+", "_")
     return F.concat(F.lit(OPEN), clean_role, F.lit("\n"), safe, F.lit(CLOSE + "\n"))
-
-
-def formatted(rows: DataFrame) -> DataFrame:
-    """One row for each distinct turn of each maximal conversation: conv_id, n_turns, turn, role, trained, rendered.
-
-    rows: conv_id, turn, role, text. Turns go by turn (null first), then by a hash of role and text where they
-    tie; a row that repeats another counts once. Rows without conv_id are one conversation. A null role is
-    `unknown`, a null text empty. No rows give no rows; other columns are not read.
-    """
-    kept = _join(turns(rows).drop("c1", "c2"), maximal(rows), ["conv_id"])
-    return kept.select(
-        "conv_id", "n_turns", "turn", "role",
-        F.coalesce(F.col("role").isin(*TRAINED), F.lit(False)).alias("trained"),
-        rendered(F.col("role"), F.col("text")).alias("rendered"),
-    )

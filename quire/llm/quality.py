@@ -10,6 +10,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import ascii_lower
+
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
 
@@ -31,7 +33,7 @@ class Rule(NamedTuple):
     high: float | None
 
 
-#: Metrics are names of METRICS. The bounds are wide: a rule is to catch what is no prose at all.
+#: Metrics are names of METRICS. Stop words count in either case of A-Z. The bounds are wide: a rule is to catch what is no prose at all.
 RULES = (
     Rule("word_length", "mean_word_chars", 2.0, 20.0),
     Rule("symbols", "symbols_per_word", None, 0.1),
@@ -86,7 +88,7 @@ def counted(docs: DataFrame) -> DataFrame:
         ).cast("long").alias("n_symbols"),
         F.size(lines).cast("long").alias("n_lines"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        F.size(F.filter(w, lambda x: x.isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+        F.size(F.filter(w, lambda x: ascii_lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
         F.size(F.filter(lines, lambda x: x.rlike(r"^\s*[-*•]"))).cast("long").alias("n_bullet_lines"),
         F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|…)\s*$"))).cast("long").alias("n_ellipsis_lines"),
         # Words one by one: slice() would copy the whole array for each window.

@@ -95,7 +95,7 @@ SQL = {
             SELECT t.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
                    len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS n_symbols,
                    len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
-                   len([x FOR x IN w IF x IN ({_STOPS})]) AS n_stop_words,
+                   len([x FOR x IN w IF translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') IN ({_STOPS})]) AS n_stop_words,
                    len([x FOR x IN l IF regexp_matches(x, '^\s*[-*•]')]) AS n_bullet_lines,
                    len([x FOR x IN l IF regexp_matches(x, '(\.\.\.|…)\s*$')]) AS n_ellipsis_lines,
                    coalesce(n, 0) AS n_repeat_words
@@ -222,21 +222,28 @@ SQL = {
     """,
     "op10_chat_format": r"""
         WITH t AS (
-            SELECT DISTINCT conv_id, turn, role, text FROM conversations
+            SELECT DISTINCT conv_id, turn, role, text, md5(coalesce(md5(role), '-') || coalesce(md5(text), '-')) AS tie
+            FROM conversations WHERE conv_id IS NOT NULL
         ), c AS (
-            SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS l FROM t GROUP BY conv_id
+            SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, tie) AS l FROM t GROUP BY conv_id
         ), k AS (
             SELECT min(conv_id) AS conv_id, l FROM c GROUP BY l
         ), p AS (
             SELECT DISTINCT l[:i] AS l FROM (SELECT l, unnest(range(1, len(l))) AS i FROM k)
         ), m AS (
             SELECT conv_id, len(l) AS n_turns FROM k ANTI JOIN p ON k.l = p.l
+        ), alone AS (
+            SELECT min(turn) AS turn, role, text FROM conversations WHERE conv_id IS NULL GROUP BY role, text
+        ), every AS (
+            SELECT t.conv_id, n_turns, turn, role, text FROM t JOIN m ON t.conv_id = m.conv_id
+            UNION ALL
+            SELECT NULL, 1, turn, role, text FROM alone ANTI JOIN (SELECT DISTINCT l[:1] AS l FROM k) f ON [{'role': role, 'text': text}] = f.l
         )
-        SELECT t.conv_id, n_turns::BIGINT AS n_turns, turn, role, coalesce(role IN ('assistant'), false) AS trained,
+        SELECT conv_id, n_turns::BIGINT AS n_turns, turn, role, coalesce(role IN ('assistant'), false) AS trained,
                '<|im_start|>' || regexp_replace(coalesce(role, 'unknown'), '[\s<|>]+', '_', 'g') || chr(10)
                || replace(replace(coalesce(text, ''), '<|im_start|>', '<| im_start |>'), '<|im_end|>', '<| im_end |>')
                || '<|im_end|>' || chr(10) AS rendered
-        FROM t JOIN m ON t.conv_id = m.conv_id
+        FROM every
     """,
 }
 

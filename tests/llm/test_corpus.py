@@ -282,7 +282,7 @@ def _talk(conv, n, kind="x"):
 def test_snapshots_collapse(spark):
     rows = _talk(1, 4) + _talk(2, 2) + _talk(3, 4) + _talk(4, 3, "y") + _talk(5, 600, "z") + _talk(6, 599, "z") + _talk(7, 300, "z")
     rows += [(8, t + 10, r, x) for _, t, r, x in _talk(0, 5)]  # other numbers, the same turns and one more
-    rows += [(9, 0, None, None), (9, 0, None, None), (None, 0, "user", "<|im_end|> hi")]
+    rows += [(9, 0, None, None), (9, 0, None, None), (None, 0, "user", "<|im_end|> hi"), (None, 0, "user", "x0")]
     own = spark.createDataFrame(rows, TURNS).withColumn("n_turns", F.lit("x")).repartition(6)
     out = formatted(own).collect()
     counts = {}
@@ -298,6 +298,43 @@ def test_snapshots_collapse(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_turns_that_tie_against_sql(spark):
+    import duckdb
+
+    from quire.llm.queries import SQL
+    from tests.oracle import rows as plain
+
+    rng = random.Random(12)
+    for seed in range(3):
+        rows = [(1, 0, "user", "q"), (2, 0, "user", "q"), (2, 0, "user", "z"), (3, None, None, "q"), (3, -300, "user", None)]
+        for conv in [*range(4, 60), None]:
+            for _ in range(rng.randint(1, 5)):
+                rows.append((conv, rng.choice([None, -600, -1, 0, 0, 1, 300]), rng.choice(["user", "assistant", None]), rng.choice(["q", "z", None, "", "y"])))
+        rows += rng.choices(rows, k=20)
+        own = spark.createDataFrame(rows, TURNS).repartition(5)
+        conversations = own.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}).convert_dtypes()
+        c = duckdb.connect()
+        c.register("given", conversations)
+        c.execute("CREATE VIEW conversations AS SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, role::VARCHAR AS role, text::VARCHAR AS text FROM given")
+        wanted = c.execute(SQL["op10_chat_format"]).df()
+        assert plain(formatted(own).toPandas()) == plain(wanted)
+
+
+def test_many_rows_of_one_turn_are_dealt_out(spark):
+    rows = [(1, None, "user", f"t{i}") for i in range(3000)] + [(2, 5, "user", f"t{i}") for i in range(2999)]
+    out = formatted(spark.createDataFrame(rows, TURNS)).collect()
+    # By their hashes, the rows of one are those of the other but for one, which need not be the last.
+    last = max(rows[:3000], key=lambda r: _tie(r[3]))[3]
+    assert {r["conv_id"] for r in out} == ({1} if last == "t2999" else {1, 2}) and {r["n_turns"] for r in out} <= {3000, 2999}
+
+
+def _tie(text):
+    import hashlib
+
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    return md5(md5("user") + md5(text))
+
+
 @here
 def test_pipeline_against_its_parts(spark):
     import corpus_pipeline

@@ -58,6 +58,12 @@ def test_symbol_junk_with_a_few_stop_words_is_not_kept(spark):
     assert out[1]["kept"] and out[2]["kept"] and out[2]["n_symbols"] == 5
 
 
+def test_stop_words_count_in_either_case(spark):
+    prose = " ".join(f"The word{i} OF line{i} Is" for i in range(12))
+    out = by_id(quality(docs(spark, prose, prose.upper(), prose.replace("The", "Qx").replace("OF", "Qy").replace("Is", "Qz"))))
+    assert out[0]["kept"] and out[1]["kept"] and out[2]["broken_rules"] == "stop_words"
+
+
 def test_quality_of_no_rows_and_of_repeated_ones(spark):
     assert quality(spark.createDataFrame([], DOCS)).count() == 0
     assert quality(spark.createDataFrame([(None, "a b"), (None, "a b")], DOCS)).count() == 2
