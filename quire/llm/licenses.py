@@ -54,6 +54,8 @@ STRETCH = 1.5
 MASK_BITS = 63
 #: Of the row that carries a text itself through the join.
 SELF = -1
+#: Copies of a row that one task puts out.
+REPEATS = 10_000
 
 
 def lowered(text: Column) -> Column:
@@ -87,8 +89,7 @@ def _one_template(templates) -> DataFrame:
 def matches(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """(doc_id, version, n_words, template, place, at): where grams of templates stand in texts.
 
-    version tells texts apart that share a doc_id. A row of template SELF stands for the text itself. Rows of
-    one text lie in one partition, so what follows needs no further shuffle.
+    version tells texts apart that share a doc_id. A row of template SELF stands for the text itself.
     """
     spark = docs.sparkSession
     w = F.col("__words")
@@ -105,8 +106,7 @@ def matches(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     )
     table = F.broadcast(template_grams(spark, templates))
     hit = rolled.withColumn("hash", F.xxhash64("gram")).join(table, "hash").filter("gram = t_gram")
-    out = hit.select("doc_id", "version", "n_words", "template", (F.col("place") - 1).alias("place"), "at")
-    return out.repartition("doc_id", "version", "n_words")
+    return hit.select("doc_id", "version", "n_words", "template", (F.col("place") - 1).alias("place"), "at")
 
 
 def spans(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
@@ -118,8 +118,9 @@ def spans(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     masks = [f"mask{k}" for k in range(max(longest - K, 0) // MASK_BITS + 1)]
     at = F.greatest("at", F.lit(0))
     bit = F.expr(f"shiftleft(1L, greatest(at, 0) % {MASK_BITS})")
-    # One row for each gram that matched; rows that repeat in the input are counted.
-    votes = found.groupBy(*key, "place", "at").agg(F.count("*").alias("copies"))
+    # One row for each gram that matched; rows that repeat in the input are counted, each task's before the shuffle.
+    # Then what belongs to one text is put into one partition, so what follows needs no further shuffle.
+    votes = found.groupBy(*key, "place", "at").agg(F.count("*").alias("copies")).repartition(*key[:3])
     diagonals = (
         votes.withColumn("diagonal", F.col("place") - F.col("at"))
         .groupBy(*key, "diagonal", "copies")
@@ -182,5 +183,11 @@ def licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
             F.coalesce(F.max("score"), F.lit(0.0)).alias("score"),
         )
     )
-    again = found.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return again.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    one = F.lit(1).cast("long")
+    few = found.filter(F.col("copies") <= REPEATS).withColumn("__copy", F.explode(F.sequence(one, "copies")))
+    # A row that is there very often is dealt out before it is repeated.
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / REPEATS)))
+    many = found.filter(F.col("copies") > REPEATS).withColumn("__part", parts).repartition("__part")
+    of_part = F.sequence(one, F.least(F.lit(REPEATS).cast("long"), F.col("copies") - F.col("__part") * REPEATS))
+    return few.select(columns).union(many.withColumn("__copy", F.explode(of_part)).select(columns))
