@@ -30,6 +30,11 @@ FOLDS, HELD_OUT = 4, 2
 #: Texts of a lower score are rejected by recognised().
 LEAST_SCORE = 0.5
 UNKNOWN = "und"
+#: Languages that are learned at most, the most frequent ones.
+MOST_LANGS = 200
+#: Characters of a text that are looked at together.
+SLICE = 1 << 20
+_SPACE = 32
 
 _letters: np.ndarray | None = None
 
@@ -42,23 +47,31 @@ def _letter_table() -> np.ndarray:
 
 
 def counts(text: str) -> np.ndarray | None:
-    """How often each column's n-grams occur in a whole text; None without a letter."""
-    code = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    letter = _letter_table()[code]
-    if not letter.any():
-        return None
-    # Runs of other characters become one space; a space stands at either end.
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]
-    code = np.concatenate(([32], np.where(letter, code, 32)[keep], [32])).astype(np.uint64)
-    out = np.zeros(DIMENSIONS, np.int64)
-    h = np.zeros(len(code), np.uint64)
-    for n in range(ORDERS):
-        h = (h[: len(code) - n] + code[n:] + np.uint64(n + 1)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-        column = (h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - DIMENSION_BITS)
-        out += np.bincount(column.view(np.int64), minlength=DIMENSIONS)
-    return out
+    """How often each column's n-grams occur in a whole text; None without a letter. SLICE characters at a time."""
+    out, table = np.zeros(DIMENSIONS, np.int64), _letter_table()
+    # The codes that the next slice's n-grams begin with, which are counted, and whether a letter stands before it.
+    held, counted, before, any_ = np.array([_SPACE], np.uint64), 0, False, False
+    for at in range(0, len(text), SLICE):
+        code = np.frombuffer(text[at : at + SLICE].lower().encode("utf-32-le", "replace"), np.uint32)
+        letter = table[code]
+        # Runs of other characters become one space; a space stands at either end.
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]
+        keep[0] |= before
+        before, any_ = bool(letter[-1]), any_ or bool(letter.any())
+        parts = [held, np.where(letter, code, _SPACE)[keep]]
+        if at + SLICE >= len(text):
+            parts.append([_SPACE])
+        code = np.concatenate(parts).astype(np.uint64)
+        h = np.zeros(len(code), np.uint64)
+        for n in range(min(ORDERS, len(code))):
+            h = (h[: len(code) - n] + code[n:] + np.uint64(n + 1)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
+            column = (h[max(0, counted - n) :] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - DIMENSION_BITS)
+            out += np.bincount(column.view(np.int64), minlength=DIMENSIONS)
+        held = code[1 - ORDERS :]
+        counted = len(held)
+    return out if any_ else None
 
 
 def tf_idf(found: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,27 +155,30 @@ def _frequencies(batches):
 def _features(batches):
     for batch in rows(batches):
         found = [counts(text) for text in batch.column(2).to_pylist()]
-        at = [f if f is None else np.flatnonzero(f).astype(np.int32) for f in found]
-        n = [f if f is None else f[f > 0].astype(np.int32) for f in found]
-        own = pa.list_(pa.int32())
-        columns = [*batch.columns[:2], pa.array(at, own), pa.array(n, own)]
+        at = [None if f is None else np.flatnonzero(f).astype("<u2").tobytes() for f in found]
+        n = [None if f is None else f[f > 0].astype("<u4").tobytes() for f in found]
+        columns = [*batch.columns[:2], pa.array(at, pa.binary()), pa.array(n, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, ["order", "lang", "at", "n"])
 
 
-def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """Learns from text and lang of rows whose fold is not HELD_OUT.
+def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, most_langs: int = MOST_LANGS) -> Model:
+    """Learns from text and lang of rows whose fold is not HELD_OUT; of at most `most_langs` languages, those with most
+    rows.
 
-    To the driver come one count for each language, DIMENSIONS frequencies and the bounded sample.
+    To the driver come these languages with their counts, DIMENSIONS frequencies and the bounded sample. Rows without
+    doc_id, text or lang are not learned from, texts without letters neither; from no rows nothing is learned.
     """
     known = in_small_batches(docs).select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     known = known.filter(fold(F.col("doc_id")) != HELD_OUT)
-    of_lang = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    frequent = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
+    of_lang = {r["lang"]: r["n"] for r in frequent.collect()}
     langs = sorted(of_lang)
     frequency = np.zeros(DIMENSIONS)
     counted = known.select("text").mapInArrow(_frequencies, "col int, n long").groupBy("col").agg(F.sum("n").alias("n"))
     for r in counted.collect():
         frequency[r["col"]] = r["n"]
-    idf = np.log((1.0 + sum(of_lang.values())) / (1.0 + frequency)) + 1.0
+    total = known.count() if len(of_lang) == most_langs else sum(of_lang.values())
+    idf = np.log((1.0 + total) / (1.0 + frequency)) + 1.0
     # By a hash of the row, so that each language gives about the same share, wherever its rows lie.
     share = F.lit(0.0)
     for lang in langs:
@@ -171,15 +187,14 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     order = F.xxhash64("doc_id", "text")
     chosen = known.filter(F.pmod(order, F.lit(1 << 30)) < share * (1 << 30))
     features = chosen.select(order.alias("order"), "lang", "text").mapInArrow(
-        _features, "order long, lang string, at array<int>, n array<int>"
+        _features, "order long, lang string, at binary, n binary"
     )
     sample = []
     # An order that does not depend on how rows were dealt out.
     for r in sorted(features.collect(), key=lambda r: (r["order"], r["lang"])):
         if r["at"]:
-            at, n = np.array(r["at"]), np.array(r["n"])
             found = np.zeros(DIMENSIONS, np.int64)
-            found[at] = n
+            found[np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<u4")
             sample.append((*tf_idf(found, idf), langs.index(r["lang"])))
     return train(sample, langs, idf)
 
@@ -215,7 +230,11 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def recognised(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs, with all their columns, whose language is recognised with a score of `least` or more."""
+    """The rows of docs, with all their columns, whose language is recognised with a score of `least` or more.
+
+    Null texts and texts without a letter are not recognised, and nothing is if nothing was learned. Repeated rows
+    have one verdict, rows without doc_id theirs; no rows give no rows.
+    """
     shared, text = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def keep(batches):
