@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACE_WORD, stored
+from quire.llm.common import SPACE_WORD, fresh, stored
 
 HASH_BITS, LEVEL_BITS = 60, 12
 BUCKETS = 1 << LEVEL_BITS
@@ -21,17 +21,18 @@ MOST = 3
 WEIGHTS = 3
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words), h (60-bit hash of the id; of the text where there is no id)."""
+def _hash() -> Column:
+    """60 bits of a hash of the id; of the text where there is no id."""
     key = F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")))).otherwise(
         F.md5(F.col("doc_id").cast("string"))
     )
-    return docs.select(
-        "doc_id",
-        "source",
-        F.coalesce(F.regexp_count("text", F.lit(SPACE_WORD)), F.lit(0)).cast("long").alias("size"),
-        F.conv(F.substring(key, 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"),
-    )
+    return F.conv(F.substring(key, 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size (words), h (the hash that decides)."""
+    size = F.coalesce(F.regexp_count("text", F.lit(SPACE_WORD)), F.lit(0)).cast("long")
+    return docs.select("doc_id", "source", size.alias("size"), _hash().alias("h"))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -126,19 +127,18 @@ def mixed_sizes(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, each as often as the mix takes it."""
+    """The rows of docs, with all their columns, each as often as the mix takes it.
+
+    Null and empty texts have no words, a null source is a source, and one without words gets none. Rows without
+    doc_id go by a hash of their text; repeated rows are in or out together; no rows give no rows.
+    """
     sizes = stored(sized(docs.select("doc_id", "source", "text")), "sized")
-    goals = thresholds(sizes, targets(sizes)).select("s", F.col("copies").alias("__copies"), F.col("below").alias("__below"))
-    h = F.conv(
-        F.substring(
-            F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")))).otherwise(F.md5(F.col("doc_id").cast("string"))),
-            1,
-            HASH_BITS // 4,
-        ),
-        16,
-        10,
-    ).cast("long")
-    times = F.col("__copies") + ((h < F.col("__below")) & (F.col("__copies") < MOST)).cast("long")
-    chosen = docs.join(goals, _matching("s"), "left").withColumn("__times", times)
-    again = F.explode(F.sequence(F.lit(1).cast("long"), "__times"))
-    return chosen.filter("__times > 0").withColumn("__copy", again).select(*docs.columns)
+    goals = thresholds(sizes, targets(sizes))
+    of, copies, below, times, copy = fresh(docs, "of", "copies", "below", "times", "copy")
+    goals = goals.select(F.col("s").alias(of), F.col("copies").alias(copies), F.col("below").alias(below))
+    # The columns of docs alone are in scope where these are named.
+    keyed = docs.withColumn(times, _hash())
+    joined = keyed.join(goals, F.col("source").eqNullSafe(F.col(of)), "left")
+    more = ((F.col(times) < F.col(below)) & (F.col(copies) < MOST)).cast("long")
+    chosen = joined.withColumn(times, F.col(copies) + more).filter(F.col(times) > 0)
+    return chosen.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns)
