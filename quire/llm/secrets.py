@@ -116,6 +116,26 @@ def features(kind: str, value: str, before: str, after: str) -> list[float]:
     ]
 
 
+# Words that made-up findings are made of, chosen apart from those that features count, of which they
+# hold a part.
+PLAIN = """
+    account action address agent apply array asset backup batch block book border branch bridge button cache call
+    camera center channel choose client cloud common connect content context copy count create current customer
+    database debug delete detail device display document domain down download empty engine error event every export
+    extra factory field filter folder font form frame function group guide handle head header house image import
+    index info item job label language last layer layout letter level library light line link list load lock loop
+    machine manager map market match member menu message method middle minute mode model module move network next
+    night note notes office open option order owner package page panel paper parent parse part paste plan policy
+    portal post power price print process product profile project prompt query queue question random range record
+    refresh region release remote report request reset resource response result review score screen script search
+    section select server service session setting share shop show side sign signal simple size skip sleep small
+    smart sort source space stage start state station status step stop storage style support switch table target
+    task team ticket title tool total track type update video view web window
+""".split()
+SECRET_NEAR = "secret key bearer credential token vault signing deploy login signature licence pin master encryption".split()
+PLAIN_NEAR = "md5 checksum etag digest commit sha1 revision hash sha256 blob fingerprint build trace parent object asset tree".split()
+
+
 def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str, str, int]]:
     """(kind, value, before, after, label): made up, half of them secrets; the same for each call."""
     rng = random.Random(seed)
@@ -129,8 +149,9 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str
     long_name = lambda: rng.choice(parts(["db_", "aws_", "client_", "my-", "x-", "user"])) + keyword() + rng.choice(parts(["_key", "_value", "2", "-prod"]))
     named = lambda: assign([rng.choice([str.lower, str.upper, str])(long_name())])
     spoken = lambda a, b: "".join(rng.choice("bcdfghklmnprstvw") + rng.choice(["a", "e", "i", "o", "u", "er", "an", "ou"]) for _ in range(rng.randint(a, b)))
-    camel = lambda a, b: "".join(rng.choice(DICTIONARY).capitalize() for _ in range(rng.randint(a, b)))
-    words = lambda a, b: rng.choice(["", "_", "-"]).join(rng.choice(DICTIONARY) for _ in range(rng.randint(a, b)))
+    camel = lambda a, b: rng.choice(["", "", some(upper, 2, 4)]) + "".join(rng.choice(PLAIN).capitalize() for _ in range(rng.randint(a, b)))
+    near = lambda found, ends=" ": rng.choice(found) + rng.choice(ends)
+    words = lambda a, b: rng.choice(["", "_", "-"]).join(rng.choice(PLAIN) for _ in range(rng.randint(a, b)))
     true = (
         lambda: ("aws_key_id", "AKIA" + some(upper + digits, 16), prose() + rng.choice(["", "aws key ", "access "])),
         lambda: ("aws_key_id", "AKIA" + some(upper + rng.choice(["", "27"]), 16), prose() + rng.choice(["", "aws key ", "access "])),
@@ -142,11 +163,11 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str
         lambda: ("assigned", some(lower + upper + digits + "!#%&*+-", 10, 40), prose() + named()),
         lambda: ("assigned", some(lower + upper + digits, 9, 24), prose() + named()),
         lambda: ("assigned", some(lower + upper + digits + "+/", 32, 64), prose() + named()),
-        lambda: ("base64", some(lower + upper + digits + "+/", 32, 64), prose() + rng.choice(["secret ", "key ", "bearer "])),
-        lambda: ("base64", some(lower + upper + "+/", 32, 64), prose() + rng.choice(["secret ", "key ", "bearer ", "key="])),
+        lambda: ("base64", some(lower + upper + digits + "+/", 32, 64), prose() + near(SECRET_NEAR)),
+        lambda: ("base64", some(lower + upper + "+/", 32, 64), prose() + near(SECRET_NEAR, " =")),
         lambda: ("base64", some(lower + upper + digits + "+/", 32, 86) + rng.choice(["", "=", "=="]), prose() + rng.choice(["AccountKey=", "ENCRYPTION_KEY=", "signing=", "key="])),
-        lambda: ("hex", some(hexa, 32, 64), prose() + rng.choice(["secret ", "token ", "api key "])),
-        lambda: ("hex", some(hexa, 32, 64), prose() + rng.choice(["key=", "credential ", "bearer "])),
+        lambda: ("hex", some(hexa, 32, 64), prose() + near(SECRET_NEAR)),
+        lambda: ("hex", some(hexa, 32, 64), prose() + near(SECRET_NEAR, "= ")),
     )
     false = (
         lambda: ("aws_key_id", "AKIA" + rng.choice(["IOSFODNN7EXAMPLE", "X" * 16, "EXAMPLE" + "0" * 9, "1234567890123456"]), prose()),
@@ -159,9 +180,9 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str
         lambda: ("assigned", some(digits, 6, 9), prose() + named()),
         lambda: ("assigned", "https://" + spoken(2, 4) + rng.choice([".com/", ".org/"]) + words(1, 3), prose() + named()),
         lambda: ("assigned", rng.choice([words, camel])(2, 3) + rng.choice(["()", "(", "(self)", "[0]", ""]), prose() + named()),
-        lambda: ("hex", some(hexa, 32), prose() + rng.choice(["md5 ", "checksum ", "etag ", "id ", "digest "])),
-        lambda: ("hex", some(hexa, 40), prose() + rng.choice(["commit ", "sha1 ", "revision ", "hash "])),
-        lambda: ("hex", some(hexa, 64), prose() + rng.choice(["sha256:", "sha256 ", "checksum "])),
+        lambda: ("hex", some(hexa, 32), prose() + near(PLAIN_NEAR)),
+        lambda: ("hex", some(hexa, 40), prose() + near(PLAIN_NEAR)),
+        lambda: ("hex", some(hexa, 64), prose() + near(PLAIN_NEAR, " :")),
         lambda: ("hex", rng.choice(hexa) * rng.randint(32, 48), prose()),
         lambda: ("base64", words(6, 9).replace("_", "/").replace("-", "/") + some(digits, 0, 2), prose() + rng.choice(["path ", "see /", "path=", ""])),
         lambda: ("base64", camel(7, 10) + some(digits, 0, 1), prose() + rng.choice(["class ", "name=", ""])),
