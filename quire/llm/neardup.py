@@ -5,12 +5,13 @@ Texts are linked at a Jaccard similarity of 0.85 or more, and linked texts share
 
 1. One pass makes, for each text, a digest of its set and a signature of universal hash minima. Texts with
    equal sets are one class from here on; copies are never paired.
-2. Each class falls into one bucket a band. In each bucket, two members (hubs), the one of the smallest set and one
-   by a hash of the band, are compared with all others: pairs grow with the rows, not with the square of a bucket.
+2. Each class falls into one bucket a band. In each bucket, one member (the hub), that of the smallest set, is compared
+   with all others: pairs grow with the rows, not with the square of a bucket.
 3. Candidates whose signatures agree well enough are confirmed on their full sets. The text of a hub with many
    candidates goes to many tasks.
 4. Links are joined to components by alternating large-star and small-star.
-5. Members of a bucket that still lie in different components were perhaps never compared. In a bucket of at most
+5. `TURNS` times, members that lie outside the commonest component of a bucket are compared with another member of that.
+6. Members of a bucket that still lie in different components were perhaps never compared. In a bucket of at most
    `FEW` members, they are. For the texts of larger ones the rest is found exactly, by prefixes: with the shingles
    of all sets in one order, the rarest first, two sets of a similarity of 0.85 share one of their first 15 percent,
    early enough to share all that they must from there on. How early a set has a shingle bounds the sizes of its
@@ -39,6 +40,8 @@ LEAST_EQUAL = 80
 #: Counters of a sketch that tells how frequent a shingle is. It only sets the order of shingles, so its size is
 #: a matter of speed, and it is all that is broadcast.
 SKETCH_BITS = 18
+#: How often members outside a bucket's commonest component are compared with one more member of that.
+TURNS = 2
 #: Members of a bucket that are compared with each other where hubs don't do. More of them go by prefixes.
 FEW = 32
 #: Candidates of a text that one task compares it with.
@@ -113,10 +116,11 @@ def _confirm(batches):
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["u", "v"])
 
 
-def _beside(pairs: DataFrame, others: DataFrame) -> DataFrame:
-    """pairs (a, b, cells, cell) with the columns of others (b and more), which are there once for each cell."""
+def _beside(pairs: DataFrame, firsts: DataFrame, others: DataFrame) -> DataFrame:
+    """pairs (a, b, cells, cell) with the columns of firsts (a and more) and others (b and more), of which there is a
+    row for each cell."""
     wanted = pairs.select("b", "cells", "cell").distinct().join(others, "b")
-    return pairs.join(wanted, ["b", "cells", "cell"])
+    return pairs.join(firsts, "a").join(wanted, ["b", "cells", "cell"])
 
 
 def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -128,9 +132,9 @@ def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     side = lambda x: classes.select(F.col("id").alias(x), F.col("signature").alias(f"s_{x}"))
     text = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
     equal = F.size(F.filter(F.zip_with("s_a", "s_b", lambda x, y: x == y), lambda x: x))
-    near = _beside(dealt.join(side("a"), "a"), side("b")).filter(equal >= LEAST_EQUAL).select("a", "b", "cells", "cell")
+    near = _beside(dealt, side("a"), side("b")).filter(equal >= LEAST_EQUAL).select("a", "b", "cells", "cell")
     near = stored(near, "near")
-    full = _beside(near.join(text("a"), "a"), text("b")).select("a", "b", "text_a", "text_b")
+    full = _beside(near, text("a"), text("b")).select("a", "b", "text_a", "text_b")
     return full.sortWithinPartitions("b").mapInArrow(_confirm, f"u {_ID}, v {_ID}")
 
 
@@ -232,15 +236,33 @@ def _within(labelled: DataFrame) -> DataFrame:
     return groups.select(F.explode(F.flatten(F.transform("m", of_one))).alias("p")).select("p.a", "p.b")
 
 
-def _settle(members: DataFrame, hubs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(u, component) by all links among members of equal buckets. members: (band, id, size); hubs: (band, hubs)."""
-    fits = f"hub.id <> id AND 100 * least(size, hub.size) >= {PERCENT} * greatest(size, hub.size)"
-    met = members.join(hubs, "band").withColumn("hub", F.explode("hubs")).filter(fits)
-    first = met.select(F.col("id").alias("a"), F.col("hub.id").alias("b"))
-    found = connected_components(_links(first, classes, texts))
+def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """members (band, id, size) with the label of their component."""
     labels = found.select(F.col("u").alias("id"), "component")
-    labelled = members.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    labelled = stored(labelled, "labelled")
+    return members.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+
+
+_FITS = f"hub.id <> id AND 100 * least(size, hub.size) >= {PERCENT} * greatest(size, hub.size)"
+
+
+def _outside(labelled: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): in each bucket, members outside its commonest component with one member of that."""
+    order = F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "size", "id")
+    by_label = labelled.groupBy("band", "label").agg(F.count("*").alias("n"), F.min(order).alias("hub"))
+    first = F.struct("n", F.xxhash64(F.lit(turn), "label").alias("h"), "label", "hub")
+    apart = by_label.groupBy("band").agg(F.max(first).alias("x"), F.count("*").alias("labels"))
+    apart = apart.filter("labels > 1").select("band", F.col("x.label").alias("most"), F.col("x.hub").alias("hub"))
+    return labelled.join(apart, "band").filter(f"label <> most AND {_FITS}").select(F.col("id").alias("a"), F.col("hub.id").alias("b"))
+
+
+def _settle(members: DataFrame, hubs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, component) by all links among members of equal buckets. members: (band, id, size); hubs: (band, hub)."""
+    met = members.join(hubs, "band").filter(_FITS)
+    found = connected_components(_links(met.select(F.col("id").alias("a"), F.col("hub.id").alias("b")), classes, texts))
+    for turn in range(TURNS):
+        more = _links(_outside(stored(_labelled(members, found), "labelled"), turn), classes, texts)
+        found = connected_components(more.union(found.select("u", F.col("component").alias("v"))))
+    labelled = stored(_labelled(members, found), "labelled")
     apart = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"))
     apart = stored(apart.filter("x <> y").select("band", (F.col("n") <= FEW).alias("few")), "apart")
     few = labelled.join(apart.filter("few"), "band", "left_semi")
@@ -274,12 +296,8 @@ def _judged(docs: DataFrame) -> DataFrame:
 
     def components():
         held = every.select("id", F.col("n_shingles").alias("size"), F.explode("bands").alias("band"))
-        member = lambda *first: F.min(F.struct(*first, "size", "id"))
-        hubs = held.groupBy("band").agg(
-            F.count("*").alias("n"), member().alias("least"), member(F.xxhash64("band", "id").alias("h")).alias("any")
-        ).filter("n > 1")
-        hub = lambda x: F.struct(F.col(f"{x}.size").alias("size"), F.col(f"{x}.id").alias("id"))
-        hubs = stored(hubs.select("band", F.array_distinct(F.array(hub("least"), hub("any"))).alias("hubs")), "hubs")
+        hubs = held.groupBy("band").agg(F.min(F.struct("size", "id")).alias("hub"), F.count("*").alias("n"))
+        hubs = stored(hubs.filter("n > 1").select("band", "hub"), "hubs")
         members = stored(held.join(hubs, "band", "left_semi"), "members")
         wanted = members.select("id").distinct()
         classes = stored(every.join(wanted, "id", "left_semi").select("id", "digest", "signature"), "classes")
