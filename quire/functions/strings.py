@@ -6,17 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# What names of files cannot hold, what their ends are trimmed of, and the length of a part.
+NOT_IN_NAMES, TRIMMED, MAX_LENGTH = r'[/\\?%*:|"<>]', r"^[-_.]+|[-_.]+$", 40
+
+
 def file_stem(name: Column) -> Column:
     """The name up to its last dot, if that is not its first character; `file` for an empty or null name."""
     stem = F.nullif(F.regexp_extract(name, r"(?s)^(.+)\.[^.]*$", 1), F.lit(""))
     return F.coalesce(stem, F.nullif(name, F.lit("")), F.lit("file"))
 
 
-def sanitize_filename_part(value: Column, max_length: int = 40) -> Column:
+def sanitize_filename_part(value: Column, max_length: int = MAX_LENGTH) -> Column:
     """Without characters that file names can't have; white space and runs of dashes one dash; trimmed, then cut."""
-    kept = F.regexp_replace(F.coalesce(value, F.lit("")), r'[/\\?%*:|"<>]', "")
+    kept = F.regexp_replace(F.coalesce(value, F.lit("")), NOT_IN_NAMES, "")
     dashed = F.regexp_replace(F.regexp_replace(kept, r"(?U)\s+", "-"), "-+", "-")
-    trimmed = F.regexp_replace(dashed, r"^[-_.]+|[-_.]+$", "")
+    trimmed = F.regexp_replace(dashed, TRIMMED, "")
     return F.coalesce(F.nullif(F.substring(trimmed, 1, max_length), F.lit("")), F.lit("file"))
 
 

@@ -32,20 +32,29 @@ def running_offset(rows: DataFrame, order: str, amount: str, name: str, size: in
     return own.join(bases, "__range").withColumn(name, F.col("__base") + F.col("__own")).drop("__range", "__own", "__base")
 
 
-def expand_pages(sources: DataFrame, size: Column | None = None, mode: str = "gray") -> DataFrame:
+def expand_pages(sources: DataFrame, size: Column | None = None, mode: str = "gray", unreadable: str = "error") -> DataFrame:
     """A row for each page of each source, all of one document, in order of source and page.
 
-    Pages start unselected, with a colour mode. A source without pages gives none.
+    Pages start unselected, with a colour mode. Their size is `size`, else what sources have in page_sizes, else 612 x
+    792. A source of 0 pages gives none. One whose pages could not be counted (num_pages is null) fails the load when
+    rows are read, or is left out (unreadable="skip").
     """
-    placed = running_offset(sources.filter("num_pages > 0"), "source_order", "num_pages", "__before")
+    if unreadable not in ("error", "skip"):
+        raise ValueError(f"unreadable must be error or skip, not {unreadable}")
+    counted = sources
+    if unreadable == "error":
+        failed = F.raise_error(F.concat(F.lit("cannot read the pages of "), F.coalesce("source_id", F.lit("?")))).cast("int")
+        counted = sources.withColumn("num_pages", F.when(F.col("num_pages").isNull(), failed).otherwise(F.col("num_pages")))
+    placed = running_offset(counted.filter("num_pages > 0"), "source_order", "num_pages", "__before")
     pages = placed.withColumn("source_page_index", F.explode(F.expr("sequence(0, num_pages - 1)")))
+    own = F.get("page_sizes", F.col("source_page_index")) if "page_sizes" in sources.columns else page_size(612, 792)
     return pages.select(
         F.lit(0).cast("long").alias("document"),
         (F.col("__before") + F.col("source_page_index")).cast("long").alias("position"),
         page_id(F.col("source_id"), F.col("source_page_index")).alias("id"),
         F.col("source_id").cast("string").alias("source_id"),
         "source_page_index",
-        (size if size is not None else page_size(612, 792)).alias("page_size_pts"),
+        (size if size is not None else own).alias("page_size_pts"),
         F.array(color_mode_op(mode)).alias("operations"),
         F.lit(False).alias("selected"),
     )
@@ -92,6 +101,7 @@ def reordered(pages: DataFrame, order: DataFrame) -> DataFrame:
 
 
 def by_index(results: DataFrame, index: str = "index") -> DataFrame:
+    """Results of tasks in the order in which the tasks were given."""
     return results.orderBy(index)
 
 

@@ -56,6 +56,6 @@ def with_source(pages: DataFrame, sources: DataFrame, missing: str = "null") ->
     return joined.drop("__known")
 
 
-def zipped(left: DataFrame, right: DataFrame, on: str = "position") -> DataFrame:
-    """Rows of one place each; the longer side's surplus is left out."""
-    return left.join(right, on)
+def zipped(left: DataFrame, right: DataFrame, on: tuple[str, ...] = ("document", "position")) -> DataFrame:
+    """Rows of one place in one document each; the longer side's surplus is left out."""
+    return left.join(right, list(on))

@@ -137,3 +137,57 @@ PIXELS = """
                floor(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b + 0.5::DOUBLE)::INT AS gray
         FROM pixels
     )"""
+
+
+def scan_pdf(doc_id: int, pages: int) -> bytes:
+    """A PDF of empty pages for a document, of 200 x (300 + doc_id % 5) points, each third page turned. The tree has a
+    branch of ten pages each, from which pages inherit their box; every other file keeps its objects in an object stream."""
+    import zlib
+
+    branches = -(-pages // 10)
+    bodies = {1: "<< /Type /Catalog /Pages 2 0 R >>"}
+    bodies[2] = f"<< /Type /Pages /Count {pages} /Kids [{' '.join(f'{3 + b} 0 R' for b in range(branches))}] >>"
+    for b in range(branches):
+        own = range(10 * b, min(10 * b + 10, pages))
+        kids = " ".join(f"{3 + branches + i} 0 R" for i in own)
+        bodies[3 + b] = f"<< /Type /Pages /Parent 2 0 R /Count {len(own)} /Kids [{kids}] /MediaBox [0 0 200 {300 + doc_id % 5}] >>"
+        for i in own:
+            bodies[3 + branches + i] = f"<< /Type /Page /Parent {3 + b} 0 R {'/Rotate 90' if i % 3 == 2 else ''} >>"
+    if doc_id % 2:
+        plain = "".join(f"{n} 0 obj\n{x}\nendobj\n" for n, x in bodies.items())
+        return f"%PDF-1.4\n{plain}trailer\n<< /Root 1 0 R >>\n%%EOF\n".encode()
+    starts, at = [], 0
+    for x in bodies.values():
+        starts.append(at)
+        at += len(x) + 1
+    index = " ".join(f"{n} {a}" for n, a in zip(bodies, starts, strict=True)) + " "
+    packed = zlib.compress((index + " ".join(bodies.values())).encode())
+    number = len(bodies) + 1
+    head = f"/Type /ObjStm /N {len(bodies)} /First {len(index)} /Filter /FlateDecode /Length {len(packed)}"
+    tail = f"\nendstream\nendobj\n{number + 1} 0 obj\n<< /Type /XRef /Root 1 0 R /Length 1 >>\nstream\nx\nendstream\nendobj\n%%EOF\n"
+    return f"%PDF-1.5\n{number} 0 obj\n<< {head} >>\nstream\n".encode() + packed + tail.encode()
+
+
+def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path and content of a PDF for each document, in seven folders; some files are called otherwise."""
+
+    @F.pandas_udf("binary")
+    def pdf(doc_id, pages):
+        import pandas as pd
+
+        return pd.Series([scan_pdf(d, n) for d, n in zip(doc_id, pages, strict=True)])
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr("CAST(1 + n_chars div 2000 AS int)").alias("pages"))
+    end = F.when(F.col("doc_id") % 11 == 0, ".txt").when(F.col("doc_id") % 4 == 0, ".PDF").otherwise(".pdf")
+    folder, name = F.concat(F.lit("/scans/f"), F.col("doc_id") % 7), F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), end)
+    return docs.select(F.concat_ws("/", folder, name).alias("path"), pdf("doc_id", "pages").alias("content"))
+
+
+SCANS = """
+    named AS (
+        SELECT doc_id, (1 + n_chars // 2000)::INT AS num_pages, doc_id % 7 AS folder,
+               lpad(doc_id::VARCHAR, 12, '0') || CASE WHEN doc_id % 4 = 0 THEN '.PDF' ELSE '.pdf' END AS name
+        FROM documents WHERE doc_id % 11 <> 0
+    ), scans AS (
+        SELECT *, row_number() OVER (ORDER BY folder, name) - 1 AS source_order FROM named
+    )"""

@@ -13,15 +13,18 @@ from quire.queries.bindings import (
     LABEL,
     MODE,
     PAGES_OF_DOCUMENT,
+    SCANS,
     SOURCES,
     ops_sql,
     pages,
     pages_sql,
     pixel_size_sql,
+    scans,
     size_sql,
     sources,
     table,
 )
+from quire.sources.documents import sources_of
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -460,8 +463,8 @@ def source_lookup_skip(spark, sf_dir):
 """)
 def ocr_zip(spark, sf_dir):
     own = pages(spark, sf_dir).select("document", "position", "id")
-    images = own.filter("document > 0").select((F.col("document") - 1).alias("d"), "position", F.col("id").alias("image_id"))
-    return lookups.zipped(own, images).filter("document = d").select("document", "position", "id", "image_id")
+    images = own.filter("document > 0").select((F.col("document") - 1).alias("document"), "position", F.col("id").alias("image_id"))
+    return lookups.zipped(own, images).select("document", "position", "id", "image_id")
 
 
 @query("""
@@ -480,3 +483,24 @@ def bw_options(spark, sf_dir):
 
 
 assert PAGES_OF_DOCUMENT < 53, "ranks of reorder_pages must differ"
+
+
+@query(f"WITH {SCANS} SELECT source_order, name, 'application/pdf' AS mime, num_pages FROM scans")
+def scanned_sources(spark, sf_dir):
+    """PDF files that are made of documents, scanned: their order and page counts."""
+    return sources_of(scans(spark, sf_dir)).select("source_order", "name", "mime", "num_pages")
+
+
+@query(f"""
+    WITH {SCANS}, p AS (
+        SELECT *, unnest(range(num_pages)) AS i, sum(num_pages) OVER (ORDER BY source_order) - num_pages AS before FROM scans
+    )
+    SELECT (before + i)::BIGINT AS position, i::INT AS source_page_index,
+           (CASE WHEN i % 3 = 2 THEN 300 + doc_id % 5 ELSE 200 END)::DOUBLE AS width,
+           (CASE WHEN i % 3 = 2 THEN 200 ELSE 300 + doc_id % 5 END)::DOUBLE AS height
+    FROM p
+""")
+def scanned_pages(spark, sf_dir):
+    """The pages of these files, in the order of the files, each of its own size."""
+    pages = catalog.expand_pages(sources_of(scans(spark, sf_dir)))
+    return pages.select("position", "source_page_index", F.col("page_size_pts.width").alias("width"), F.col("page_size_pts.height").alias("height"))

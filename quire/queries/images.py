@@ -120,13 +120,14 @@ def px_pack_bits(spark, sf_dir):
     return X.packed_bits(pixels(spark, sf_dir))
 
 
+@query(_OTSU + """ SELECT image_id::VARCHAR AS id, 8 AS width, 8 AS height, 'image/png' AS mime_type,
+        string_agg(CASE WHEN gray > threshold THEN 'FFFFFFFF' ELSE '000000FF' END, '' ORDER BY x, 7 - y) AS pixels_hex
+    FROM lum JOIN t USING (image_id) GROUP BY image_id""")
 def rendered_pages(spark, sf_dir):
-    """Each vector's image, turned, made black and white by Otsu's threshold, and written as one-bit PNG.
-
-    No SQL: the tests hold the bytes against the kernels on rows.
-    """
+    """Each vector's image, turned, made black and white by Otsu's threshold, written as one-bit PNG and read back."""
     from quire.raster.executor import render
     from quire.schema import OPS
+    from quire.sources.documents import decode_images
     from quire.sources.png import encode
 
     ordered = F.sort_array(F.collect_list(F.struct("y", "x", "r", "g", "b", "a")))
@@ -140,8 +141,6 @@ def rendered_pages(spark, sf_dir):
         ops.cast(OPS).alias("operations"), F.lit("bw-otsu").alias("mode"), F.lit(612.0).alias("width_pts"),
         F.lit(8).alias("width"), F.lit(8).alias("height"), "data",
     )
-    out = render(rows, encode)
-    return out.select("id", "width", "height", "mime_type", F.hex("content").alias("content_hex"))
-
-
-QUERIES["rendered_pages"] = rendered_pages
+    files = render(rows, encode).filter("mime_type = 'image/png'").select(F.col("id").alias("path"), "content")
+    read = decode_images(files)
+    return read.select(F.col("image_id").alias("id"), "width", "height", F.lit("image/png").alias("mime_type"), F.hex("data").alias("pixels_hex"))

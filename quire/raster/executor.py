@@ -10,6 +10,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quire.raster import kernels
 
@@ -96,3 +97,52 @@ def thumbnails(pages: DataFrame, encode, max_width: int = 300) -> DataFrame:
 
 def pages_needing_thumbnails(diff: DataFrame) -> DataFrame:
     return diff.filter("needs_thumbnail")
+
+
+def prepare(image: np.ndarray, original: np.ndarray, mode: str, compressed: bool, size: tuple[int, int], quality: float, jpeg) -> tuple[np.ndarray, bytes, str]:
+    """An image as it goes into a document by the older rules, its bytes and MIME type. original: before the mode was
+    applied; size: of the result, if compressed; jpeg(image, quality) encodes.
+
+    Uncompressed colour is the original as PNG; black and white is made so by the mode's threshold and has one bit;
+    compressed colour and gray are JPEG, gray ones after a slight blur.
+    """
+    from quire.sources.png import encode_bw, encode_rgb
+
+    out = original if mode == "color" and not compressed else image
+    if compressed:
+        out = kernels.scaled(out, *size, fill_white=mode != "color", smooth=mode != "bw")
+    if mode in ("bw", "bw-otsu"):
+        out = kernels.apply_mode(out, mode)
+        return out, encode_bw(out), "image/png"
+    if compressed and mode in ("color", "gray"):
+        out = kernels.blur(kernels.grayscale(out), 0.4) if mode == "gray" else out
+        return out, jpeg(out, quality), "image/jpeg"
+    return out, encode_rgb(out), "image/png"
+
+
+def prepared(images: DataFrame, compression: str, quality: float, jpeg: Callable | None = None) -> DataFrame:
+    """id, width, height, mime_type and content of images as they go into a document, by prepare().
+
+    images: id, mode, page_size_pts, width, height, data and, if there is one, original (data before the mode, of the
+    same size).
+    """
+    from quire.plans.export import rescale_plan
+    from quire.sources.png import encode_jpeg
+
+    encode, compressed = jpeg or encode_jpeg, compression != "none"
+    original = F.col("original") if "original" in images.columns else F.col("data")
+    own = images.select("id", "mode", "width", "height", "data", original.alias("original"))
+    rasters = images.select("id", "page_size_pts", "mode", F.col("width").alias("width_px"), F.col("height").alias("height_px"))
+    sized = own.join(rescale_plan(rasters, compression).select("id", "width_out", "height_out"), "id")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                image, first = (np.frombuffer(row[x], np.uint8).reshape(row["height"], row["width"], 4) for x in ("data", "original"))
+                out, content, mime = prepare(image, first, row["mode"], compressed, (row["width_out"], row["height_out"]), quality, encode)
+                columns = [pa.array([row["id"]], pa.string()), pa.array([out.shape[1]], pa.int32()), pa.array([out.shape[0]], pa.int32())]
+                columns += [pa.array([mime]), pa.array([content], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "width", "height", "mime_type", "content"])
+
+    return sized.mapInArrow(run, "id string, width int, height int, mime_type string, content binary")

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 
 from quire.raster.kernels import packed_bits
+from quire.sources import jpeg
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -37,11 +38,11 @@ def encode(image: np.ndarray, mode: str) -> tuple[bytes, str]:
 
 
 def encode_jpeg(image: np.ndarray, quality: float) -> bytes:
-    """Needs Pillow, which is not a requirement of this library; fails clearly without it."""
+    """By Pillow if it is there, else by numpy."""
     try:
         from PIL import Image
-    except ImportError as e:
-        raise RuntimeError("JPEG output needs Pillow; use encode() for PNG") from e
+    except ImportError:
+        return jpeg.encode(image, quality)
     import io
 
     out = io.BytesIO()
@@ -49,6 +50,17 @@ def encode_jpeg(image: np.ndarray, quality: float) -> bytes:
     return out.getvalue()
 
 
+def decode_jpeg(data: bytes) -> np.ndarray:
+    """height x width x 3 bytes, by Pillow if it is there, else by numpy."""
+    try:
+        from PIL import Image
+    except ImportError:
+        return jpeg.decode(data)
+    import io
+
+    return np.asarray(Image.open(io.BytesIO(data)).convert("RGB"))
+
+
 def encode_as_saved(image: np.ndarray, mode: str, quality: float) -> tuple[bytes, str]:
     """As documents are saved: one-bit PNG for the black-and-white modes, JPEG for others."""
     if mode in ("bw", "bw-otsu"):
@@ -56,6 +68,40 @@ def encode_as_saved(image: np.ndarray, mode: str, quality: float) -> tuple[bytes
     return encode_jpeg(image, quality), "image/jpeg"
 
 
+def unfiltered(raw: np.ndarray, step: int) -> np.ndarray:
+    """Lines of a PNG without their filters. raw: lines of bytes, each behind the number of its filter; step: bytes
+    between a byte and the one left of it.
+
+    Filters that look left and up make each pixel wait for two others, so pixels are taken diagonal by diagonal: those
+    of one, a pixel of each line, wait for earlier ones only.
+    """
+    kinds, lines = raw[:, 0], raw[:, 1:]
+    if kinds.max(initial=0) > 4:
+        raise ValueError("a line has a filter that does not exist")
+    if not (kinds > 2).any():
+        out = lines.copy()
+        for y in np.flatnonzero(kinds):
+            if kinds[y] == 1:
+                out[y] = np.cumsum(lines[y].reshape(-1, step), 0, np.uint8).ravel()
+            elif y:
+                out[y] += out[y - 1]
+        return out
+    height, width = len(lines), lines.shape[1] // step
+    pixels = lines.reshape(height, width, step).astype(np.int16)
+    kind = kinds[:, None]
+    out = np.zeros((height + 1, width + 1, step), np.int16)
+    for d in range(height + width - 1):
+        y = np.arange(max(0, d - width + 1), min(height, d + 1))
+        x = d - y
+        left, up, corner, k = out[y + 1, x], out[y, x + 1], out[y, x], kind[y]
+        guess = left + up - corner
+        a, b, c = np.abs(guess - left), np.abs(guess - up), np.abs(guess - corner)
+        nearest = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+        guess = np.choose(k, (np.int16(0), left, up, (left + up) >> 1, nearest))
+        out[y + 1, x + 1] = (pixels[y, x] + guess) & 255
+    return out[1:, 1:].astype(np.uint8).reshape(height, -1)
+
+
 def decode(data: bytes) -> np.ndarray:
     """height x width x 4 bytes."""
     if data[:8] != SIGNATURE:
@@ -75,24 +121,7 @@ def decode(data: bytes) -> np.ndarray:
         raise ValueError(f"PNG of depth {depth}, colour type {color}, interlacing {interlace} is not supported")
     stride, step = (width * channels * depth + 7) // 8, max(1, channels * depth // 8)
     raw = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(height, stride + 1)
-    rows, before = np.zeros((height, stride), np.uint8), np.zeros(stride, np.int64)
-    for y in range(height):
-        kind, line = raw[y, 0], raw[y, 1:].astype(np.int64)
-        if kind == 2:
-            line = (line + before) & 255
-        elif kind in (1, 3, 4):
-            for i in range(stride):
-                left = line[i - step] if i >= step else 0
-                corner = before[i - step] if i >= step else 0
-                if kind == 1:
-                    guess = left
-                elif kind == 3:
-                    guess = (left + before[i]) // 2
-                else:
-                    p = left + before[i] - corner
-                    guess = min((abs(p - left), 0, left), (abs(p - before[i]), 1, before[i]), (abs(p - corner), 2, corner))[2]
-                line[i] = (line[i] + guess) & 255
-        rows[y] = before = line
+    rows = unfiltered(raw, step)
     if depth == 1:
         plain = np.unpackbits(rows, axis=1)[:, :width, None] * np.uint8(255)
     else:

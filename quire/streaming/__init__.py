@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.sources.documents import sources_of
+from quire.sources.documents import streamed_sources
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def watched_sources(spark: SparkSession, path: str) -> DataFrame:
     """sources of PDF files as they appear in a folder. Stateless: write with a checkpoint for exactly-once rows."""
-    return sources_of(spark.readStream.format("binaryFile").schema(FILES).load(path))
+    return streamed_sources(spark.readStream.format("binaryFile").schema(FILES).load(path))
