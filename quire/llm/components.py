@@ -8,14 +8,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import stored
+from quire.llm.common import discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Links every larger neighbour of u to the smallest of u and its neighbours."""
+    """Links every larger neighbour of u to the smallest of u and its neighbours. Rows of one u lie together."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    linked = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    # What follows goes by u, of which each has a row for each of its smaller neighbours.
+    return linked.repartition("u").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -46,7 +48,8 @@ def connected_components(edges: DataFrame, most: int = 100) -> DataFrame:
         "edges",
     )
     for _ in range(most):
+        before, edges = edges, stored(_small_star(_large_star(edges)), "edges")
+        discard(before)
         if _settled(edges):
             return edges.select("u", F.col("v").alias("component"))
-        edges = stored(_small_star(_large_star(edges)), "edges")
     raise RuntimeError(f"components did not settle in {most} rounds")

@@ -10,7 +10,7 @@ Texts are linked at a Jaccard similarity of 0.85 or more, and linked texts share
 3. Candidates whose signatures agree well enough are confirmed on their full sets. The text of a hub with many
    candidates goes to many tasks.
 4. Links are joined to components by alternating large-star and small-star.
-5. `TURNS` times, members that lie outside the commonest component of a bucket are compared with another member of that.
+5. `TURNS` times, members outside the commonest component of a bucket are compared with another member of that.
 6. Members of a bucket that still lie in different components were perhaps never compared. In a bucket of at most
    `FEW` members, they are. For the texts of larger ones the rest is found exactly, by prefixes: with the shingles
    of all sets in one order, the rarest first, two sets of a similarity of 0.85 share one of their first 15 percent,
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import WordHashes, fresh, in_small_batches, mixed, rows, settled, shingle_set, stored
+from quire.llm.common import WordHashes, discard, fresh, in_small_batches, mixed, rows, settled, shingle_set, stored
 from quire.llm.components import connected_components
 
 SHINGLE, BANDS, ROWS = 5, 24, 5
@@ -41,7 +41,7 @@ LEAST_EQUAL = 80
 #: a matter of speed, and it is all that is broadcast.
 SKETCH_BITS = 18
 #: How often members outside a bucket's commonest component are compared with one more member of that.
-TURNS = 2
+TURNS = 1
 #: Members of a bucket that are compared with each other where hubs don't do. More of them go by prefixes.
 FEW = 32
 #: Candidates of a text that one task compares it with.
@@ -117,25 +117,31 @@ def _confirm(batches):
 
 
 def _beside(pairs: DataFrame, firsts: DataFrame, others: DataFrame) -> DataFrame:
-    """pairs (a, b, cells, cell) with the columns of firsts (a and more) and others (b and more), of which there is a
-    row for each cell."""
+    """pairs (a, b) with the columns of firsts (a and more) and others (b and more). Where pairs have `cells` and
+    `cell`, there is a row of others for each cell."""
+    joined = pairs.join(firsts, "a")
+    if "cell" not in pairs.columns:
+        return joined.join(others, "b")
     wanted = pairs.select("b", "cells", "cell").distinct().join(others, "b")
-    return pairs.join(firsts, "a").join(wanted, ["b", "cells", "cell"])
+    return joined.join(wanted, ["b", "cells", "cell"])
 
 
 def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Which candidate pairs (a, b) are links: signatures first, then full sets."""
+    """Which candidate pairs (a, b) are links (u, v), as a table: signatures first, then full sets."""
     pairs = stored(pairs.distinct(), "pairs")
-    crowded = pairs.groupBy("b").agg((1 + F.floor(F.count("*") / CELL)).alias("cells")).filter("cells > 1")
-    dealt = pairs.join(crowded, "b", "left").fillna(1, "cells")
-    dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("a"), F.col("cells")))
+    dealt, cells = pairs, (1 + F.floor(F.count("*") / CELL)).alias("cells")
+    crowded = pairs.groupBy("b").agg(cells).filter("cells > 1")
+    if crowded.head(1):
+        cell = F.pmod(F.xxhash64("a"), F.col("cells"))
+        dealt = pairs.join(crowded, "b", "left").fillna(1, "cells").withColumn("cell", cell)
     side = lambda x: classes.select(F.col("id").alias(x), F.col("signature").alias(f"s_{x}"))
     text = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
     equal = F.size(F.filter(F.zip_with("s_a", "s_b", lambda x, y: x == y), lambda x: x))
-    near = _beside(dealt, side("a"), side("b")).filter(equal >= LEAST_EQUAL).select("a", "b", "cells", "cell")
-    near = stored(near, "near")
+    near = stored(_beside(dealt, side("a"), side("b")).filter(equal >= LEAST_EQUAL).select(dealt.columns), "near")
     full = _beside(near, text("a"), text("b")).select("a", "b", "text_a", "text_b")
-    return full.sortWithinPartitions("b").mapInArrow(_confirm, f"u {_ID}, v {_ID}")
+    links = stored(full.sortWithinPartitions("b").mapInArrow(_confirm, f"u {_ID}, v {_ID}"), "links")
+    discard(pairs, near)
+    return links
 
 
 def _counters(batches):
@@ -236,12 +242,6 @@ def _within(labelled: DataFrame) -> DataFrame:
     return groups.select(F.explode(F.flatten(F.transform("m", of_one))).alias("p")).select("p.a", "p.b")
 
 
-def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
-    """members (band, id, size) with the label of their component."""
-    labels = found.select(F.col("u").alias("id"), "component")
-    return members.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-
-
 _FITS = f"hub.id <> id AND 100 * least(size, hub.size) >= {PERCENT} * greatest(size, hub.size)"
 
 
@@ -255,14 +255,28 @@ def _outside(labelled: DataFrame, turn: int) -> DataFrame:
     return labelled.join(apart, "band").filter(f"label <> most AND {_FITS}").select(F.col("id").alias("a"), F.col("hub.id").alias("b"))
 
 
+def _relabelled(labelled: DataFrame, links: DataFrame) -> DataFrame:
+    """labelled, with components that links lead to a smaller one of under its label. Chains of such are left to the
+    end, so texts of one label are in one component, but not the other way round."""
+    ends = labelled.select("id", "label").distinct()
+    of = lambda x: ends.select(F.col("id").alias(x), F.col("label").alias(f"label_{x}"))
+    both = links.join(of("u"), "u").join(of("v"), "v").filter("label_u <> label_v")
+    less = both.groupBy(F.greatest("label_u", "label_v").alias("label")).agg(F.min(F.least("label_u", "label_v")).alias("less"))
+    return labelled.join(less, "label", "left").withColumn("label", F.coalesce("less", "label")).select("band", "id", "size", "label")
+
+
 def _settle(members: DataFrame, hubs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """(u, component) by all links among members of equal buckets. members: (band, id, size); hubs: (band, hub)."""
     met = members.join(hubs, "band").filter(_FITS)
     found = connected_components(_links(met.select(F.col("id").alias("a"), F.col("hub.id").alias("b")), classes, texts))
+    labels = found.select(F.col("u").alias("id"), F.col("component").alias("label"))
+    labelled = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).select("band", "id", "size", "label")
+    labelled, known = stored(labelled, "labelled"), found.select("u", F.col("component").alias("v"))
     for turn in range(TURNS):
-        more = _links(_outside(stored(_labelled(members, found), "labelled"), turn), classes, texts)
-        found = connected_components(more.union(found.select("u", F.col("component").alias("v"))))
-    labelled = stored(_labelled(members, found), "labelled")
+        links = _links(_outside(labelled, turn), classes, texts)
+        before, labelled = labelled, stored(_relabelled(labelled, links), "labelled")
+        discard(before)
+        known = known.union(links)
     apart = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"))
     apart = stored(apart.filter("x <> y").select("band", (F.col("n") <= FEW).alias("few")), "apart")
     few = labelled.join(apart.filter("few"), "band", "left_semi")
@@ -270,8 +284,7 @@ def _settle(members: DataFrame, hubs: DataFrame, classes: DataFrame, texts: Data
     pairs = _within(few)
     if open_.head(1):
         pairs = pairs.union(_rest(open_, texts))
-    more = _links(pairs, classes, texts)
-    return connected_components(more.union(found.select("u", F.col("component").alias("v"))))
+    return connected_components(_links(pairs, classes, texts).union(known))
 
 
 def _digest(text) -> Column:
