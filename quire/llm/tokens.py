@@ -10,6 +10,7 @@ commits the rows of one attempt only, which files count. Nothing is renamed, whi
 from __future__ import annotations
 
 import json
+import re
 import sys
 import uuid
 import zlib
@@ -35,6 +36,13 @@ MET = 1 << 22
 #: Texts whose pieces are looked up together.
 TEXTS = 1024
 
+#: Pieces that are encoded in one text.
+TOGETHER = 256
+#: How a byte-level vocabulary writes a space.
+SPACE = "\u0120"
+#: Pieces that end in no white space at either side and are of one line.
+_PLAIN = re.compile(r"\S(?:[^\n]*\S)?").fullmatch
+
 _tokenizers: dict[str, PieceIds | WholeIds] = {}
 
 
@@ -81,6 +89,9 @@ class PieceIds(dict):
         self.tokenizer, self.lead = tokenizer, lead
         self.met, self.n_met = bytearray(MET), 0
         self.marks = {x: self.whole(x) for x in self.MARKS}
+        vocabulary = tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for x, i in vocabulary.items() if x.startswith(SPACE)]] = True
         self.lines = PieceIds(tokenizer, "\n") if lead == " " else self
 
     def whole(self, text: str) -> bytes:
@@ -100,6 +111,11 @@ class PieceIds(dict):
         if piece[-1] in self.marks and word.isalpha() and (word.isascii() or max(word) < self.LETTERS):
             return self[word] + self.marks[piece[-1]]
         found = self.whole(self.lead + piece)
+        self.remember(piece, found)
+        return found
+
+    def remember(self, piece: str, found: bytes) -> None:
+        """Keeps a piece's ids if it was met before."""
         slot = hash(piece) % MET
         if not self.met[slot]:
             if self.n_met >= MET // 2:
@@ -108,6 +124,41 @@ class PieceIds(dict):
             self.n_met += 1
         elif len(self) < REMEMBERED and len(piece) <= LONGEST:
             self[piece] = found
+
+    def look_up(self, pieces: list[str]) -> list[bytes | None]:
+        """self[piece] of different pieces. Those that aren't remembered are encoded many at a time, with a space
+        between them: ids that begin with a space tell where one ends."""
+        found, marks, new, ends = list(map(self.get, pieces)), self.marks, {}, []
+        for i in [i for i, x in enumerate(found) if x is None]:
+            piece = pieces[i]
+            if not _PLAIN(piece):
+                found[i] = self[piece]
+                continue
+            mark = marks.get(piece[-1])
+            if mark is not None and (word := piece[:-1]).isalpha() and (word.isascii() or max(word) < self.LETTERS):
+                piece = word
+            else:
+                mark = b""
+            known = self.get(piece)
+            if known is not None:
+                found[i] = known + mark
+            else:
+                new.setdefault(piece, None)
+                ends.append((i, piece, mark))
+        words = list(new)
+        for at in range(0, len(words), TOGETHER):
+            some = words[at : at + TOGETHER]
+            ids = self.whole(" " + " ".join(some))
+            starts = (4 * np.flatnonzero(self.begins[np.frombuffer(ids, "<u4")])).tolist()
+            if len(starts) == len(some):
+                parts = [ids[a:b] for a, b in zip(starts, [*starts[1:], len(ids)], strict=True)]
+            else:
+                parts = [self.whole(" " + x) for x in some]
+            for word, part in zip(some, parts, strict=True):
+                new[word] = part
+                self.remember(word, part)
+        for i, piece, mark in ends:
+            found[i] = new[piece] + mark
         return found
 
     def first(self, text: str) -> bytes:
@@ -124,7 +175,7 @@ class PieceIds(dict):
         coded = pieces.flatten().dictionary_encode()
         code = coded.indices.to_numpy().astype(np.int64)
         known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        found = list(map(self.__getitem__, known))
+        found = self.look_up(known)
         without = [i for i, x in enumerate(found) if x is None]
         none = np.zeros(len(found), bool)
         none[without] = True
