@@ -41,7 +41,7 @@ LEAST_EQUAL = 80
 #: a matter of speed, and it is all that is broadcast.
 SKETCH_BITS = 18
 #: How often members outside a bucket's commonest component are compared with one more member of that.
-TURNS = 1
+TURNS = 2
 #: Members of a bucket that are compared with each other where hubs don't do. More of them go by prefixes.
 FEW = 32
 #: Candidates of a text that one task compares it with.
@@ -256,13 +256,20 @@ def _outside(labelled: DataFrame, turn: int) -> DataFrame:
 
 
 def _relabelled(labelled: DataFrame, links: DataFrame) -> DataFrame:
-    """labelled, with components that links lead to a smaller one of under its label. Chains of such are left to the
-    end, so texts of one label are in one component, but not the other way round."""
+    """labelled, with each component under the label of the largest one that a link leads to, if that is larger, or of
+    what that one is led to. Longer chains are left to the end: texts of one label are in one component, but not the
+    other way round."""
     ends = labelled.select("id", "label").distinct()
-    of = lambda x: ends.select(F.col("id").alias(x), F.col("label").alias(f"label_{x}"))
-    both = links.join(of("u"), "u").join(of("v"), "v").filter("label_u <> label_v")
-    less = both.groupBy(F.greatest("label_u", "label_v").alias("label")).agg(F.min(F.least("label_u", "label_v")).alias("less"))
-    return labelled.join(less, "label", "left").withColumn("label", F.coalesce("less", "label")).select("band", "id", "size", "label")
+    sizes = ends.groupBy("label").agg(F.count("*").alias("n"))
+    ranked = ends.join(sizes, "label").select("id", F.struct("n", F.xxhash64("label").alias("h"), "label").alias("rank"))
+    of = lambda x: ranked.select(F.col("id").alias(x), F.col("rank").alias(f"rank_{x}"))
+    both = links.join(of("u"), "u").join(of("v"), "v").filter("rank_u <> rank_v")
+    smaller, larger = F.least("rank_u", "rank_v")["label"], F.greatest("rank_u", "rank_v")
+    led = both.groupBy(smaller.alias("label")).agg(F.max(larger)["label"].alias("to"))
+    led = stored(led, "led")
+    on = led.select(F.col("label").alias("to"), F.col("to").alias("then"))
+    led = led.join(on, "to", "left").select("label", F.coalesce("then", "to").alias("to"))
+    return labelled.join(led, "label", "left").withColumn("label", F.coalesce("to", "label")).select("band", "id", "size", "label")
 
 
 def _settle(members: DataFrame, hubs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
