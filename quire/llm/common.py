@@ -10,11 +10,12 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.files import filesystem, is_local, shared_folder  # noqa: F401
+
 #: Words of plain text: runs without ASCII white space.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 #: Words of normalised text: runs of ASCII letters and digits and of everything beyond ASCII.
@@ -137,46 +138,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return [f"{x}_{n}" for x in names]
 
 
-def shared_folder(spark: SparkSession, path: str) -> str:
-    """path as a full URI: without a scheme it lies where Spark itself would put it, in the default file system.
-
-    A folder of a machine's own disk is refused on a cluster, unless it is in the one that spark.checkpoint.dir names.
-    """
-    sc = spark.sparkContext
-
-    def whole(x):
-        hadoop = sc._jvm.org.apache.hadoop.fs.Path(x)
-        return hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
-
-    uri, root = whole(path), spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if uri.startswith("file:") and not _is_local(spark) and not (root and f"{uri}/".startswith(f"{whole(root)}/")):
-        raise ValueError(f"{path} is on a disk of one machine; the driver and all executors must share it")
-    return uri
-
-
-#: Schemes that Hadoop and Arrow name differently.
-ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3"}
-
-
-def arrow_uri(uri: str) -> str:
-    """The URI under which Arrow reaches what Hadoop reaches under this one."""
-    scheme, found, rest = uri.partition(":")
-    if not found or "/" in scheme:
-        raise ValueError(f"{uri} has no scheme; see shared_folder()")
-    if scheme == "file":
-        return "file:///" + rest.lstrip("/")
-    return f"{ARROW_SCHEMES.get(scheme, scheme)}:{rest}"
-
-
-def filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
-    """Arrow's file system of a full URI, and the path in it."""
-    return pa.fs.FileSystem.from_uri(arrow_uri(uri))
-
-
-def _is_local(spark: SparkSession) -> bool:
-    return bool(re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master))
-
-
 #: Paths of what this thread has put into the shared folder and not removed.
 _held = threading.local()
 
@@ -191,7 +152,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that the cluster names; in a temporary one only in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not _is_local(spark):
+        if not is_local(spark):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="quire-")
         spark.sparkContext.setCheckpointDir(root)

@@ -365,7 +365,7 @@ def test_pipeline_against_its_parts(spark):
 
 
 def test_names_of_folders(spark, tmp_path, monkeypatch):
-    from quire.llm import common
+    from quire.sources import files as common
 
     assert common.shared_folder(spark, str(tmp_path)) == f"file:{tmp_path}"
     assert common.arrow_uri("s3a://bucket/a/b") == "s3://bucket/a/b" and common.arrow_uri("file:/a b") == "file:///a b"
@@ -381,7 +381,7 @@ def test_names_of_folders(spark, tmp_path, monkeypatch):
         assert common.shared_folder(spark, "/in/x") == "viewfs://store/in/x"
     finally:
         hadoop.set("fs.defaultFS", before)
-    monkeypatch.setattr(common, "_is_local", lambda spark: False)
+    monkeypatch.setattr(common, "is_local", lambda spark: False)
     with pytest.raises(ValueError):
         common.shared_folder(spark, "/elsewhere/tokens")
     named = spark.conf.get("spark.checkpoint.dir")
