@@ -5,9 +5,9 @@ with its place, and the running sums of these hashes identify each prefix of a c
 keep the smallest id; an anti-join drops those that are a proper prefix of another; the turns of the rest are
 rendered, one row each, so no conversation ever has to be a single value.
 
-Running sums and places go over the rows of one turn, in parts by their hash, then over the turns of blocks of
-`SEGMENT` turn numbers, and then over blocks: a conversation that holds a large share of the log is spread over many
-tasks, and so are many rows of one turn. Only hashes go through all that; texts are shuffled once.
+Running sums and places go over blocks of `SEGMENT` turn numbers, and then over blocks: a conversation that holds a
+large share of the log is spread over many tasks. Many rows of a few turns are too: such a block is summed by turn, and
+by parts of a turn by their hash, first. Only hashes go through all that; texts are shuffled once.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from quire.llm.common import stored
 
 SEGMENT = 256
+#: Rows of a segment from which on its turns, and parts of a turn, are counted on their own.
+CROWDED = 4096
 #: Hexadecimal digits of the hash of role and text by which rows of one turn are dealt to parts.
 PART = 2
 #: Four sums of 32-bit hashes stand for a prefix.
@@ -28,31 +30,36 @@ TRAINED = ("assistant",)
 
 
 def identified(rows: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text, tie (a hash of role and text) and spot (of the turn, too), neither of them null."""
-    md5 = lambda x: F.coalesce(F.md5(F.col(x).cast("binary")), F.lit("-"))
-    tie = F.md5(F.concat(md5("role"), md5("text")).cast("binary"))
-    own = rows.select("conv_id", "turn", "role", "text", tie.alias("tie"))
-    return own.withColumn("spot", F.md5(F.concat_ws(" ", F.coalesce(F.col("turn").cast("string"), F.lit("-")), "tie").cast("binary")))
+    """conv_id, turn, role, text, tie (a hash of role and text), and at and unnumbered, which are the turn without null."""
+    role = F.coalesce(F.concat(F.length("role").cast("string"), F.lit(":"), "role"), F.lit("-"))
+    tie = F.md5(F.concat(role, F.coalesce(F.concat(F.lit("+"), "text"), F.lit("-"))).cast("binary"))
+    return rows.select(
+        "conv_id", "turn", "role", "text", tie.alias("tie"), F.coalesce("turn", F.lit(0)).alias("at"), F.col("turn").isNull().alias("unnumbered")
+    )
+
+
+#: What tells the rows of a conversation apart.
+SPOT = ["conv_id", "at", "unnumbered", "tie"]
 
 
 def _sums_before(spots: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """spots with, for each name, the sum over its conversation's earlier spots (before_) and over them all (all_).
 
-    spots (conv_id, block, turn, part, tie and names) are summed in cells of one turn and part, cells in blocks, blocks
-    in conversations. No task gets more than a cell's spots, a block's cells or a conversation's blocks.
+    spots (conv_id, block, cell_turn, cell_part, turn, tie and names) are summed in cells, cells in blocks, blocks in
+    conversations. No task gets more than a cell's spots, a block's cells or a conversation's blocks.
     """
-    cell, block = ["conv_id", "block", "turn", "part"], Window.partitionBy("conv_id", "block")
-    turn, none = F.col("turn").asc_nulls_first(), F.lit(0).cast("long")
+    cell, block = ["conv_id", "block", "cell_turn", "cell_part"], Window.partitionBy("conv_id", "block")
+    first, none = lambda *x: [F.col(y).asc_nulls_first() for y in x], F.lit(0).cast("long")
     earlier = lambda w, x: F.coalesce(F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, -1)), none)
     cells = spots.groupBy(*cell).agg(*(F.sum(x).alias(x) for x in names))
     blocks = cells.groupBy("conv_id", "block").agg(*(F.sum(x).alias(x) for x in names))
-    whole, over = Window.partitionBy("conv_id"), Window.partitionBy("conv_id").orderBy(F.col("block").asc_nulls_first())
+    whole, over = Window.partitionBy("conv_id"), Window.partitionBy("conv_id").orderBy(*first("block"))
     bases = blocks.select("conv_id", "block", *(earlier(over, x).alias(f"base_{x}") for x in names), *(F.sum(x).over(whole).alias(f"all_{x}") for x in names))
-    offsets = cells.select(*cell, *(earlier(block.orderBy(turn, "part"), x).alias(f"in_{x}") for x in names))
+    offsets = cells.select(*cell, *(earlier(block.orderBy(*first("cell_turn", "cell_part")), x).alias(f"in_{x}") for x in names))
     placed = _join(offsets, bases, ["conv_id", "block"]).select(
         *cell, *(f"all_{x}" for x in names), *((F.col(f"in_{x}") + F.col(f"base_{x}")).alias(f"from_{x}") for x in names)
     )
-    own = Window.partitionBy(*cell).orderBy("tie")
+    own = Window.partitionBy(*cell).orderBy(*first("turn", "tie"))
     ranked = spots.select("*", *(earlier(own, x).alias(f"own_{x}") for x in names))
     return _join(ranked, placed, cell).select(
         *spots.columns, *(f"all_{x}" for x in names), *((F.col(f"own_{x}") + F.col(f"from_{x}")).alias(f"before_{x}") for x in names)
@@ -70,9 +77,13 @@ def prefixes(spots: DataFrame) -> DataFrame:
 
     spots: conv_id (not null), turn, tie, each once.
     """
-    keyed = spots.select(
-        "conv_id", "turn", "tie", F.floor(F.col("turn") / SEGMENT).alias("block"), F.substring("tie", 1, PART).alias("part"), F.lit(1).cast("long").alias("one")
-    )
+    one = F.lit(1).cast("long").alias("one")
+    keyed = spots.select("conv_id", "turn", "tie", F.floor(F.col("turn") / SEGMENT).alias("block"), one)
+    crowded = keyed.groupBy("conv_id", "block").agg(F.count("*").alias("rows")).filter(F.col("rows") > CROWDED)
+    # A block is one cell, but for those that hold very many rows.
+    keyed = _join(keyed, crowded, ["conv_id", "block"], "left").withColumns({
+        "cell_turn": F.when(F.col("rows").isNotNull(), F.col("turn")), "cell_part": F.when(F.col("rows").isNotNull(), F.substring("tie", 1, PART)),
+    }).drop("rows")
     n = F.col("before_one") + 1
     counted = _sums_before(keyed, ("one",)).select(*keyed.columns, n.alias("n"), F.col("all_one").alias("n_turns"), *_lanes(n))
     summed = _sums_before(counted.drop("one"), LANES)
@@ -99,15 +110,15 @@ def formatted(rows: DataFrame) -> DataFrame:
     """
     own = identified(rows)
     named = own.filter("conv_id IS NOT NULL")
-    spots = stored(named.select("conv_id", "turn", "tie", "spot").dropDuplicates(["conv_id", "spot"]), "spots")
+    spots = stored(named.select(*SPOT, "turn").dropDuplicates(SPOT), "spots")
     found = stored(prefixes(spots), "prefixes")
     key = ["n", *LANES]
     whole = found.filter("n = n_turns").groupBy(*key).agg(F.min("conv_id").alias("conv_id"))
     proper = found.filter("n < n_turns").select(*key).distinct()
     maximal = whole.join(proper, key, "left_anti").select("conv_id", F.col("n").alias("n_turns"))
-    kept = spots.join(maximal, "conv_id").select("conv_id", "spot", "n_turns")
+    kept = spots.join(maximal, "conv_id").select(*SPOT, "n_turns")
     # Texts are shuffled once, repeated rows no more than once from each task.
-    turns = named.dropDuplicates(["conv_id", "spot"]).join(kept, ["conv_id", "spot"])
+    turns = named.dropDuplicates(SPOT).join(kept, SPOT)
     one = F.lit(1).cast("long")
     alone = own.filter("conv_id IS NULL").groupBy("role", "text", "tie").agg(F.min("turn").alias("turn"))
     alone = alone.select("role", "text", "turn", *_lanes(one)).join(found.filter("n = 1").select(*LANES).distinct(), list(LANES), "left_anti")

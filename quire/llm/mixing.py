@@ -19,6 +19,8 @@ BUCKETS = 1 << LEVEL_BITS
 #: Most copies of a document.
 MOST = 3
 WEIGHTS = 3
+#: Characters by which sources are dealt out to be ranked.
+FLAT, DEEP = 2, 8
 
 
 def _hash() -> Column:
@@ -35,28 +37,55 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", size.alias("size"), _hash().alias("h"))
 
 
+def _ranked(by_source: DataFrame) -> DataFrame:
+    """by_source (source and others) with `rank`, from 0, in code point order, null last.
+
+    Sources are counted within those that share their first `DEEP` characters, these within those that share `FLAT`,
+    and only the latter, two characters at most, go through one task.
+    """
+    keyed = by_source.withColumns({"deep": F.substring("source", 1, DEEP), "flat": F.substring("source", 1, FLAT)})
+    order = lambda x: F.col(x).asc_nulls_last()
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    deep = keyed.groupBy("deep", "flat").agg(F.count("*").alias("n"))
+    flat = deep.groupBy("flat").agg(F.sum("n").alias("n")).select(F.col("flat").alias("f"), earlier(Window.orderBy(order("flat"))).alias("at_flat"))
+    deep = deep.select(F.col("deep").alias("d"), "flat", earlier(Window.partitionBy("flat").orderBy(order("deep"))).alias("at_deep"))
+    places = deep.join(flat, F.col("flat").eqNullSafe(F.col("f"))).select("d", (F.col("at_flat") + F.col("at_deep")).alias("before"))
+    own = keyed.withColumn("at", F.row_number().over(Window.partitionBy("deep").orderBy(order("source"))) - 1)
+    placed = own.join(places, F.col("deep").eqNullSafe(F.col("d")))
+    return placed.select(*by_source.columns, (F.col("before") + F.col("at")).alias("rank"))
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """source, source_size, target for each source, from rows (source, size).
 
     Sources in code point order, null last, weigh 1, 2, 3, 1, 2, 3 and so on. They share the sum of all sizes by
     weight; none gets more than MOST times its size, and what is over is shared again by weight. That is: with
     sources in order of size over weight, the first ones get MOST times their size, and from the first whose
-    share is within its limit on, all get their share of the rest. The windows here have one row for each
-    source, which is few rows beside the documents.
+    share is within its limit on, all get their share of the rest: a rate for each unit of weight, the one number that
+    comes to the driver. Sources of one size over weight are summed, and so are classes of these.
     """
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weighted = by_source.withColumn("w", ((F.row_number().over(order) - 1) % WEIGHTS + 1).cast("double"))
-    tight = Window.orderBy(F.col("source_size") / F.col("w"), F.col("source").asc_nulls_last())
-    before, after = tight.rowsBetween(Window.unboundedPreceding, -1), tight.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    total = F.sum("source_size").over(everything).cast("double")
-    used = MOST * F.coalesce(F.sum("source_size").over(before), F.lit(0)).cast("double")
-    rate = weighted.withColumn("rate", (total - used) / F.sum("w").over(after))
-    within = MOST * F.col("source_size").cast("double") >= F.col("rate") * F.col("w")
-    chosen = rate.withColumn("rate", F.max(F.when(within, F.col("rate"))).over(everything))
-    target = F.least(MOST * F.col("source_size").cast("double"), F.col("rate") * F.col("w"))
-    return chosen.select("source", "source_size", target.alias("target"))
+    by_source = stored(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    weighted = stored(_ranked(by_source).withColumn("w", (F.col("rank") % WEIGHTS + 1).cast("double")).drop("rank"), "weighted")
+    ratio = F.col("source_size") / F.col("w")
+    alike = weighted.groupBy(ratio.alias("ratio")).agg(
+        F.sum("source_size").alias("s"), F.sum("w").alias("w"), F.min(F.struct("source_size", "w")).alias("one")
+    ).withColumn("of", F.coalesce(F.floor(F.log2("ratio") * 16), F.lit(-1 << 40)))
+    classes = alike.groupBy("of").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
+    none = lambda kind: F.lit(0).cast(kind)
+    earlier = lambda w, x, kind: F.coalesce(F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, -1)), none(kind))
+    over, inner, everything = Window.orderBy("of"), Window.partitionBy("of").orderBy("ratio"), Window.partitionBy()
+    # Some hundred rows: a class for each sixteenth of a power of two.
+    bases = classes.select(
+        "of", earlier(over, "s", "long").alias("base_s"), earlier(over, "w", "double").alias("base_w"),
+        F.sum("s").over(everything).alias("all_s"), F.sum("w").over(everything).alias("all_w"),
+    )
+    placed = alike.select("of", "one", earlier(inner, "s", "long").alias("in_s"), earlier(inner, "w", "double").alias("in_w")).join(bases, "of")
+    used, left = MOST * (F.col("base_s") + F.col("in_s")).cast("double"), F.col("all_w") - (F.col("base_w") + F.col("in_w"))
+    rated = placed.withColumn("rate", (F.col("all_s").cast("double") - used) / left)
+    within = MOST * F.col("one.source_size").cast("double") >= F.col("rate") * F.col("one.w")
+    rate = rated.agg(F.max(F.when(within, F.col("rate")))).first()[0]
+    target = F.least(MOST * F.col("source_size").cast("double"), F.lit(rate).cast("double") * F.col("w"))
+    return weighted.select("source", "source_size", target.alias("target"))
 
 
 def _matching(source: str) -> Column:

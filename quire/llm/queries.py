@@ -222,7 +222,7 @@ SQL = {
     """,
     "op10_chat_format": r"""
         WITH t AS (
-            SELECT DISTINCT conv_id, turn, role, text, md5(coalesce(md5(role), '-') || coalesce(md5(text), '-')) AS tie
+            SELECT DISTINCT conv_id, turn, role, text, md5(coalesce(length(role)::VARCHAR || ':' || role, '-') || coalesce('+' || text, '-')) AS tie
             FROM conversations WHERE conv_id IS NOT NULL
         ), c AS (
             SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, tie) AS l FROM t GROUP BY conv_id

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quire.llm import langid, secrets, simple8b, warc
+from quire.llm import chat, langid, secrets, simple8b, warc
 from quire.llm.chat import formatted
 from quire.llm.mixing import mix, mixed_sizes
 from quire.llm.queries import tokenizer_path
@@ -227,6 +227,24 @@ def test_mix_comes_near_its_targets(spark):
     assert all(counts.get(r["doc_id"], 0) * r["size"] == r["taken"] for r in out)
 
 
+def test_mix_of_many_sources_against_sql(spark):
+    import duckdb
+
+    from quire.llm.queries import SQL
+    from tests.oracle import rows as plain
+
+    rng = random.Random(7)
+    names = [None, "", "a", "ab", "abc", *(f"www.{rng.choice('abc')}{rng.randrange(400)}.org" for _ in range(500)), "zz" * 9, "é", "\U0001f600", "\uffff"]
+    rows = [(i, rng.choice(names), "w " * rng.choice([0, 1, 1, 1, 2, 5, 40])) for i in range(3000)]
+    own = _mix(spark, rows).drop("size")
+    c = duckdb.connect()
+    given = own.toPandas()
+    c.register("given", given)
+    c.execute("CREATE VIEW documents AS SELECT doc_id, source::VARCHAR AS source, text::VARCHAR AS text FROM given")
+    found = mixed_sizes(own).select("doc_id", "size", "source_size", "target", "taken").toPandas()
+    assert plain(found) == plain(c.execute(SQL["op8_mixing"]).df())
+
+
 def test_mix_of_odd_rows(spark):
     assert mixed_sizes(_mix(spark, [])).count() == 0
     rows = [(1, "a", None), (2, "a", ""), (None, "b", "x y"), (None, "b", "z"), (3, None, "p q"), (3, None, "p q")]
@@ -298,14 +316,15 @@ def test_snapshots_collapse(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_turns_that_tie_against_sql(spark):
+def test_turns_that_tie_against_sql(spark, monkeypatch):
     import duckdb
 
     from quire.llm.queries import SQL
     from tests.oracle import rows as plain
 
     rng = random.Random(12)
-    for seed in range(3):
+    for crowded in (4096, 0, 2):
+        monkeypatch.setattr(chat, "CROWDED", crowded)
         rows = [(1, 0, "user", "q"), (2, 0, "user", "q"), (2, 0, "user", "z"), (3, None, None, "q"), (3, -300, "user", None)]
         for conv in [*range(4, 60), None]:
             for _ in range(rng.randint(1, 5)):
@@ -320,7 +339,8 @@ def test_turns_that_tie_against_sql(spark):
         assert plain(formatted(own).toPandas()) == plain(wanted)
 
 
-def test_many_rows_of_one_turn_are_dealt_out(spark):
+def test_many_rows_of_one_turn_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(chat, "CROWDED", 1000)
     rows = [(1, None, "user", f"t{i}") for i in range(3000)] + [(2, 5, "user", f"t{i}") for i in range(2999)]
     out = formatted(spark.createDataFrame(rows, TURNS)).collect()
     # By their hashes, the rows of one are those of the other but for one, which need not be the last.
@@ -331,121 +351,64 @@ def test_many_rows_of_one_turn_are_dealt_out(spark):
 def _tie(text):
     import hashlib
 
-    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
-    return md5(md5("user") + md5(text))
+    return hashlib.md5(f"4:user+{text}".encode()).hexdigest()
+
+
+def _pipeline_tables(spark, folder):
+    """The smallest tables with odd rows and columns of clashing names."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    prose = docs.filter("length(text) > 300 AND lang = 'en'").orderBy("doc_id").first()["text"]
+    odd = [(None, prose, "en", "web"), (None, None, None, None), (9001, "", "en", None), (9002, None, "de", "a"), (9003, "... 12", "en", "web"), (9004, prose + " one more", "en", None),
+           (9005, "x" * 300_000 + " " + prose[:200], "en", "web"), (9006, prose[:250], None, "a"), (9006, prose[:250], None, "a")]
+    own = docs.select("doc_id", "text", "lang", "source").union(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string"))
+    extra = {c: F.lit("x") for c in ("s", "spans", "__gone", "__below", "version", "id", "times_0", "h")}
+    own.withColumns(extra).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{FOLDER}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
 
 
 @here
-def test_pipeline_against_its_parts(spark):
+@pytest.mark.parametrize("odd", [False, True])
+def test_pipeline_against_its_parts(spark, tmp_path, odd):
+    import duckdb
+
     import corpus_pipeline
-    from quire.llm.decontaminate import contamination
+    from quire.llm.queries import SQL
     from tests.llm.test_neardup import brute
+    from tests.llm.test_text import brute_hits
 
-    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
+    folder = _pipeline_tables(spark, tmp_path / "tables") if odd else FOLDER
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    bench = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text").collect()]
     kept = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, kept = kept, stage(spark, kept, FOLDER)
+        before, kept = kept, stage(spark, kept, folder)
         assert kept.columns == docs.columns
-        held = {r["doc_id"] for r in kept.collect()}
-        rows = [tuple(r) for r in before.select("doc_id", "text").collect()]
+        held = sorted(((r["doc_id"] or 0), r["text"] or "") for r in kept.collect())
+        rows = [(r["doc_id"], r["text"]) for r in before.select("doc_id", "text").collect()]
+        if name == "language_id":
+            assert set(held) <= {(i or 0, t) for i, t in rows if any(c.isalpha() for c in t or "")} and len(held) > 0.9 * len(rows) - 9
         if name == "near_dedup":
-            assert held == {i for i, (_, c) in brute(rows).items() if i == c}
+            # Rows without doc_id all stay; of rows that repeat one, with its text, one does.
+            known = sorted({(i, t) for i, t in rows if i is not None})
+            wanted = sorted([(i, t or "") for (i, t), (_, c) in zip(known, (brute(known)[i] for i, _ in known), strict=True) if i == c] + [(0, t or "") for i, t in rows if i is None])
+            assert held == wanted
         if name == "decontaminate":
-            bad = {r["doc_id"] for r in contamination(before, bench).filter("contaminated").collect()}
-            assert held == {i for i, _ in rows} - bad
-    last = corpus_pipeline.run(spark, FOLDER).collect()
-    rows = kept.orderBy("doc_id", "text").select("doc_id", "text").collect()
+            hits = {t: brute_hits(t, bench)[:2] for _, t in rows}
+            assert held == sorted((i or 0, t or "") for i, t in rows if not hits[t][1] or 20 * hits[t][1] < hits[t][0])
+        if name == "mix_sources":
+            c = duckdb.connect()
+            given = before.select("doc_id", "source", "text").toPandas()
+            c.register("documents", given)
+            taken = c.execute(SQL["op8_mixing"]).df()
+            taken = {None if i != i else int(i): n // size for i, n, size in zip(taken.doc_id, taken.taken, taken["size"], strict=True) if size}
+            copies = {i: held.count((i or 0, t or "")) for i, t in rows if t}
+            assert {i: n for i, n in copies.items() if i in taken} == taken
+    last = corpus_pipeline.run(spark, folder).collect()
+    hashed = kept.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).orderBy("doc_id", "h").collect()
     start, wanted = 0, []
-    for r in rows:
-        ids = np.array(pieces().tokenizer.encode(r["text"], add_special_tokens=False).ids + [0], "<u4")
+    for r in hashed:
+        ids = np.array(pieces().tokenizer.encode(r["text"] or "", add_special_tokens=False).ids + [0], "<u4")
         wanted.append((r["doc_id"], start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert sorted(map(tuple, last), key=lambda r: r[1]) == wanted
-
-
-def test_names_of_folders(spark, tmp_path, monkeypatch):
-    from quire.sources import files as common
-
-    assert common.shared_folder(spark, str(tmp_path)) == f"file:{tmp_path}"
-    assert common.arrow_uri("s3a://bucket/a/b") == "s3://bucket/a/b" and common.arrow_uri("file:/a b") == "file:///a b"
-    assert common.arrow_uri("hdfs://host:8020/a") == "hdfs://host:8020/a" and common.arrow_uri("file:///a") == "file:///a"
-    with pytest.raises(ValueError):
-        common.arrow_uri("/a/b")
-    # A path without scheme goes where the default file system is; a machine's own disk is refused on a cluster.
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    before = hadoop.get("fs.defaultFS")
-    try:
-        hadoop.set("fs.defaultFS", "viewfs://store/")
-        hadoop.set("fs.viewfs.mounttable.store.link./in", f"file://{tmp_path}")
-        assert common.shared_folder(spark, "/in/x") == "viewfs://store/in/x"
-    finally:
-        hadoop.set("fs.defaultFS", before)
-    monkeypatch.setattr(common, "is_local", lambda spark: False)
-    with pytest.raises(ValueError):
-        common.shared_folder(spark, "/elsewhere/tokens")
-    named = spark.conf.get("spark.checkpoint.dir")
-    assert common.shared_folder(spark, f"{named}/x") == f"file:{named}/x"
-
-
-def test_intermediate_tables_are_removed(spark, tmp_path):
-    from quire.llm import common
-    from quire.llm.neardup import near_duplicates
-
-    root = spark.conf.get("spark.checkpoint.dir")
-    common.clear(spark)
-    before = set(os.listdir(root))
-    kept = common.settled(spark, lambda: near_duplicates(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")), "kept")
-    assert len(set(os.listdir(root)) - before) == 1 and kept.count() == 2
-    common.discard(kept)
-    token_digests(spark.createDataFrame([(1, "a")], "doc_id long, text string"), tokenizer_path()).collect()
-    assert len(set(os.listdir(root)) - before) == 1
-    common.clear(spark)
-    assert set(os.listdir(root)) == before
-
-
-def test_records_are_whole_responses(spark, tmp_path):
-    rows = [(1, "http://a.example/", "x" * 1000), (1, "http://a.example/", "y"), (2, "http://b.example/", "x" * 1000), (None, "http://a.example/", "z"), (None, "http://a.example/", "z"), (None, "http://c.example/", "x" * 1000)]
-    folder = str(tmp_path / "w")
-    assert warc.archived(spark.createDataFrame(rows, PAGES), folder).count() == 6
-    ids, referred = [], []
-    for r in spark.read.parquet(f"{folder}/manifest").collect():
-        with open(f"{folder}/{r['file']}", "rb") as file, open(f"{folder}/{r['file']}.cdx", "rb") as of_index:
-            index = warc.Index(of_index)
-            for i in range(len(index.directory)):
-                for _, _, offset, length in index.block(i):
-                    file.seek(offset)
-                    headers, block = warc.parsed(file.read(length))
-                    ids.append(headers["WARC-Record-ID"])
-                    if headers["WARC-Type"] == "response":
-                        head, _, body = block.partition(b"\r\n\r\n")
-                        assert headers["Content-Type"] == "application/http; msgtype=response"
-                        assert head.startswith(b"HTTP/1.1 200 OK\r\n") and f"Content-Length: {len(body)}".encode() in head
-                    else:
-                        referred.append(headers["WARC-Refers-To"])
-    assert len(set(ids)) == 6 and len(referred) == 2 and set(referred) <= set(ids)
-
-
-def test_tokens_of_any_tokenizer(spark):
-    import public_tokenizers
-
-    from quire.llm import tokens
-
-    assert isinstance(tokens.ids_of(tokenizer_path()), tokens.PieceIds)
-    path = public_tokenizers.path("word_bpe_49k.json")
-    assert isinstance(tokens.ids_of(path), tokens.WholeIds)
-    rows = [(i, t) for i, t in enumerate(["", "A  bc", "x\ny", "Some  words, and more"])]
-    out = token_digests(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
-    coder = tokens.ids_of(path).tokenizer
-    assert {r["doc_id"]: r["n_tokens"] for r in out} == {i: len(coder.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows}
-
-
-def test_rows_that_share_an_id_are_dealt_to_many_files(spark, tmp_path):
-    rows = [(None, "no id")] * 3000 + [(7, f"w{i}") for i in range(3000)]
-    own = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        manifest = write_tokens(own, str(tmp_path / "t"), tokenizer_path()).collect()
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert len(manifest) == 4 and max(r["documents"] for r in manifest) < 3000
