@@ -504,3 +504,20 @@ def scanned_pages(spark, sf_dir):
     """The pages of these files, in the order of the files, each of its own size."""
     pages = catalog.expand_pages(sources_of(scans(spark, sf_dir)))
     return pages.select("position", "source_page_index", F.col("page_size_pts.width").alias("width"), F.col("page_size_pts.height").alias("height"))
+
+
+@query(f"""WITH {SOURCES} SELECT source_order, 'source_' || source_order || '_' || substr(sha1(name), 1, 8) AS id FROM sources""")
+def source_ids(spark, sf_dir):
+    return sources(spark, sf_dir).select("source_order", S.source_id(F.col("name"), F.col("source_order")).alias("id"))
+
+
+@query(f"""
+    WITH {pages_sql()}
+    SELECT p.id, {ops_sql()} AS operations, CASE WHEN p.position % 2 = 0 THEN 'image of ' || p.id END AS thumbnail FROM sized p
+""")
+def restored_pages(spark, sf_dir):
+    """Snapshots with their thumbnails, where there is one."""
+    own = pages(spark, sf_dir)
+    images = own.filter("position % 2 = 0").select("id", F.concat(F.lit("image of "), F.col("id")).alias("thumbnail"))
+    out = history.restored(history.snapshot(own), images)
+    return out.select("id", P.ops_text(F.col("operations")).alias("operations"), "thumbnail")
