@@ -7,6 +7,7 @@ import tempfile
 import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -174,6 +175,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Removes on leaving what is put into the shared folder inside."""
+    before = set(_paths())
+    yield
+    _remove(spark, _paths() - before)
+
+
 def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
     """stored(make(), name), without the tables and files that make() put into the shared folder on its way."""
     before = set(_paths())

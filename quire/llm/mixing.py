@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACE_WORD, fresh, stored
+from quire.llm.common import SPACE_WORD, fresh, settled, stored
 
 HASH_BITS, LEVEL_BITS = 60, 12
 BUCKETS = 1 << LEVEL_BITS
@@ -147,7 +147,7 @@ def mixed_sizes(docs: DataFrame) -> DataFrame:
     is a source; no rows give no rows; other columns are not read.
     """
     sizes = stored(sized(docs.select("doc_id", "source", "text")), "sized")
-    goals = thresholds(sizes, targets(sizes))
+    goals = settled(docs.sparkSession, lambda: thresholds(sizes, targets(sizes)), "goals")
     copies = F.col("copies") + ((F.col("h") < F.col("below")) & (F.col("copies") < MOST)).cast("long")
     return sizes.join(goals, _matching("s"), "left").select(
         "doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"),
@@ -161,8 +161,12 @@ def mix(docs: DataFrame) -> DataFrame:
     Null and empty texts have no words, a null source is a source, and one without words gets none. Rows without
     doc_id go by a hash of their text; repeated rows are in or out together; no rows give no rows.
     """
-    sizes = stored(sized(docs.select("doc_id", "source", "text")), "sized")
-    goals = thresholds(sizes, targets(sizes))
+
+    def found():
+        sizes = stored(sized(docs.select("doc_id", "source", "text")), "sized")
+        return thresholds(sizes, targets(sizes))
+
+    goals = settled(docs.sparkSession, found, "goals")
     of, copies, below, times, copy = fresh(docs, "of", "copies", "below", "times", "copy")
     goals = goals.select(F.col("s").alias(of), F.col("copies").alias(copies), F.col("below").alias(below))
     # The columns of docs alone are in scope where these are named.

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import filesystem, in_small_batches, rows, salted_join, scratch, shared_folder, stored
+from quire.llm.common import filesystem, in_small_batches, passing, rows, salted_join, scratch, shared_folder, stored
 
 REVISIT_BYTES = 1000
 #: Captures a block of the index.
@@ -243,10 +243,11 @@ def write_archives(pages: DataFrame, folder: str, date: str = DATE) -> DataFrame
     folder = shared_folder(pages.sparkSession, folder)
     filesystem(folder)  # fails here rather than in a task
     # A host or URL with many captures is split between ranges by page_id, captures without one by their digest.
-    dealt = planned(pages).withColumn("apart", F.when(F.col("page_id").isNull(), F.col("digest")))
-    dealt = dealt.repartitionByRange("key", "page_id", "apart").drop("apart")
-    dealt = dealt.sortWithinPartitions("key", "page_id", "digest", "mark")
-    dealt.mapInArrow(_write(folder, date), _MANIFEST).write.parquet(f"{folder}/manifest")
+    with passing(pages.sparkSession):
+        dealt = planned(pages).withColumn("apart", F.when(F.col("page_id").isNull(), F.col("digest")))
+        dealt = dealt.repartitionByRange("key", "page_id", "apart").drop("apart")
+        dealt = dealt.sortWithinPartitions("key", "page_id", "digest", "mark")
+        dealt.mapInArrow(_write(folder, date), _MANIFEST).write.parquet(f"{folder}/manifest")
     return pages.sparkSession.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
 
