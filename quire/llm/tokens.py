@@ -15,6 +15,7 @@ import sys
 import uuid
 import zlib
 from array import array
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -111,24 +112,27 @@ class PieceIds(dict):
         if piece[-1] in self.marks and word.isalpha() and (word.isascii() or max(word) < self.LETTERS):
             return self[word] + self.marks[piece[-1]]
         found = self.whole(self.lead + piece)
-        self.remember(piece, found)
+        self.remember([piece], [found])
         return found
 
-    def remember(self, piece: str, found: bytes) -> None:
-        """Keeps a piece's ids if it was met before."""
-        slot = hash(piece) % MET
-        if not self.met[slot]:
-            if self.n_met >= MET // 2:
-                self.met, self.n_met = bytearray(MET), 0
-            self.met[slot] = 1
-            self.n_met += 1
-        elif len(self) < REMEMBERED and len(piece) <= LONGEST:
-            self[piece] = found
+    def remember(self, pieces: list[str], found: list[bytes]) -> None:
+        """Keeps the ids of pieces that were met before."""
+        if self.n_met >= MET // 2:
+            self.met, self.n_met = bytearray(MET), 0
+        met, new = self.met, 0
+        for piece, ids in zip(pieces, found, strict=True):
+            slot = hash(piece) % MET
+            if not met[slot]:
+                met[slot] = 1
+                new += 1
+            elif len(self) < REMEMBERED and len(piece) <= LONGEST:
+                self[piece] = ids
+        self.n_met += new
 
     def look_up(self, pieces: list[str]) -> list[bytes | None]:
         """self[piece] of different pieces. Those that aren't remembered are encoded many at a time, with a space
         between them: ids that begin with a space tell where one ends."""
-        found, marks, new, ends = list(map(self.get, pieces)), self.marks, {}, []
+        found, marks, plain, places, marked = list(map(self.get, pieces)), self.marks, [], [], []
         for i in [i for i, x in enumerate(found) if x is None]:
             piece = pieces[i]
             if not _PLAIN(piece):
@@ -136,29 +140,29 @@ class PieceIds(dict):
                 continue
             mark = marks.get(piece[-1])
             if mark is not None and (word := piece[:-1]).isalpha() and (word.isascii() or max(word) < self.LETTERS):
-                piece = word
+                marked.append((i, word, mark))
             else:
-                mark = b""
-            known = self.get(piece)
-            if known is not None:
-                found[i] = known + mark
-            else:
-                new.setdefault(piece, None)
-                ends.append((i, piece, mark))
-        words = list(new)
+                places.append(i)
+                plain.append(piece)
+        new = dict.fromkeys(plain)
+        new.update((word, None) for _, word, _ in marked if word not in self)
+        words, parts = list(new), []
         for at in range(0, len(words), TOGETHER):
             some = words[at : at + TOGETHER]
             ids = self.whole(" " + " ".join(some))
             starts = (4 * np.flatnonzero(self.begins[np.frombuffer(ids, "<u4")])).tolist()
             if len(starts) == len(some):
-                parts = [ids[a:b] for a, b in zip(starts, [*starts[1:], len(ids)], strict=True)]
+                starts.append(len(ids))
+                parts += [ids[a:b] for a, b in pairwise(starts)]
             else:
-                parts = [self.whole(" " + x) for x in some]
-            for word, part in zip(some, parts, strict=True):
-                new[word] = part
-                self.remember(word, part)
-        for i, piece, mark in ends:
-            found[i] = new[piece] + mark
+                parts += [self.whole(" " + x) for x in some]
+        for i, part in zip(places, parts, strict=False):
+            found[i] = part
+        if marked:
+            new = dict(zip(words, parts, strict=True))
+            for i, word, mark in marked:
+                found[i] = (self.get(word) or new[word]) + mark
+        self.remember(words, parts)
         return found
 
     def first(self, text: str) -> bytes:
