@@ -17,15 +17,20 @@ Texts are linked at a Jaccard similarity of 0.85 or more, and linked texts share
    early enough to share all that they must from there on. How early a set has a shingle bounds the sizes of its
    partners there; texts meet at a shingle only if each one's size is within the other's bounds. So a large group of
    near copies that share a template, but are no links, costs no pairs either: the words of their own come first.
+7. Sets that lack different shingles of one original share all others, and those would meet in great number. So sets
+   that have a pivot in common, a text with many links, meet at shingles in which they differ from it: two sets differ
+   as far from each other as their differences from the pivot do. Only sets of different pivots meet in whole.
 
 At 0.85, `BANDS` bands of `ROWS` minima miss a pair once in over a million.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import WordHashes, discard, fresh, in_small_batches, mixed, rows, settled, shingle_set, stored
@@ -44,8 +49,8 @@ SKETCH_BITS = 18
 TURNS = 2
 #: Members of a bucket that are compared with each other where hubs don't do. More of them go by prefixes.
 FEW = 32
-#: Candidates of a text that one task compares it with.
-CELL = 4096
+#: Candidates of a text that one task compares it with, and texts that one task sets apart from their pivot.
+CELL, AROUND = 4096, 256
 #: Classes of set sizes between a size and the largest that can be linked to it.
 CLASSES = 8
 
@@ -126,14 +131,19 @@ def _beside(pairs: DataFrame, firsts: DataFrame, others: DataFrame) -> DataFrame
     return joined.join(wanted, ["b", "cells", "cell"])
 
 
+def _dealt(pairs: DataFrame, most: int) -> DataFrame:
+    """pairs (a, b), with `cells` and `cell` for _beside() if there are many of one b."""
+    cells = (1 + F.floor(F.count("*") / most)).alias("cells")
+    crowded = pairs.groupBy("b").agg(cells).filter("cells > 1")
+    if not crowded.head(1):
+        return pairs
+    return pairs.join(crowded, "b", "left").fillna(1, "cells").withColumn("cell", F.pmod(F.xxhash64("a"), F.col("cells")))
+
+
 def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Which candidate pairs (a, b) are links (u, v), as a table: signatures first, then full sets."""
     pairs = stored(pairs.distinct(), "pairs")
-    dealt, cells = pairs, (1 + F.floor(F.count("*") / CELL)).alias("cells")
-    crowded = pairs.groupBy("b").agg(cells).filter("cells > 1")
-    if crowded.head(1):
-        cell = F.pmod(F.xxhash64("a"), F.col("cells"))
-        dealt = pairs.join(crowded, "b", "left").fillna(1, "cells").withColumn("cell", cell)
+    dealt = _dealt(pairs, CELL)
     side = lambda x: classes.select(F.col("id").alias(x), F.col("signature").alias(f"s_{x}"))
     text = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
     equal = F.size(F.filter(F.zip_with("s_a", "s_b", lambda x, y: x == y), lambda x: x))
@@ -145,8 +155,10 @@ def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _counters(batches):
-    hashes, total = WordHashes(), np.zeros(1 << SKETCH_BITS, np.int64)
+    """How many texts have shingles of each counter; last, the number of texts."""
+    hashes, total = WordHashes(), np.zeros((1 << SKETCH_BITS) + 1, np.int64)
     for batch in rows(batches):
+        total[-1] += batch.num_rows
         for data in batch.column(0).to_pylist():
             full = shingle_set(data or b"", hashes, SHINGLE)
             total += np.bincount((full >> np.uint64(64 - SKETCH_BITS)).view(np.int64), minlength=len(total))
@@ -154,21 +166,39 @@ def _counters(batches):
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["counter", "n"])
 
 
+_CUT = f"id {_ID}, n long, apart long, around long, prefix array<long>, differing array<long>"
+
+
 def _prefixes(sketch):
+    """Of rows (id, pivot, text, text of the pivot), sorted by pivot: sizes of the set, of its difference from the
+    pivot's and of that one; and the first shingles of set and difference, in one order."""
+
+    def first(shingles, frequent, most):
+        return shingles[np.lexsort((shingles, frequent))[:most]].view(np.int64)
+
     def cut(batches):
-        hashes, frequent = WordHashes(), sketch.value
-        for batch in rows(batches):
-            ids, sizes, prefixes = batch.column(0), [], []
-            for data in batch.column(1).to_pylist():
+        hashes, last, of_last, total = WordHashes(), None, None, sketch.value[-1]
+        for batch in rows(batches, 64):
+            ids, out = batch.column(0), []
+            for pivot, data, other in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                if last is None or last != pivot:
+                    last, of_last = pivot, shingle_set(other or b"", hashes, SHINGLE)
                 full = shingle_set(data or b"", hashes, SHINGLE)
+                apart = np.setxor1d(full, of_last, assume_unique=True)
+                frequent = sketch.value[full >> np.uint64(64 - SKETCH_BITS)]
+                differing = sketch.value[apart >> np.uint64(64 - SKETCH_BITS)]
+                # What the pivot has, differs in all texts that lack it.
+                differing = np.where(np.isin(apart, of_last, assume_unique=True), total - differing, differing)
                 # Sets of n and m >= PERCENT/100 n shingles share PERCENT/100 n at least, so of the first
-                # n - ceil(PERCENT/100 n) + 1 one must be among the other's.
+                # n - ceil(PERCENT/100 n) + 1 one must be among the other's. They differ in (100 - PERCENT)/PERCENT n
+                # at most, so of the first of a difference, one more than that.
                 least = -(-PERCENT * len(full) // 100)
-                order = np.lexsort((full, frequent[full >> np.uint64(64 - SKETCH_BITS)]))
-                prefixes.append(full[order[: len(full) - least + 1]].view(np.int64))
-                sizes.append(len(full))
-            columns = [ids, pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "size", "prefix"])
+                most = (100 - PERCENT) * len(full) // PERCENT + 1
+                out.append((len(full), len(apart), len(of_last), first(full, frequent, len(full) - least + 1), first(apart, differing, most)))
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())
+            arrays = [ids, *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "apart", "around", "prefix", "differing"])
 
     return cut
 
@@ -178,29 +208,54 @@ def _size_class(size) -> Column:
     return F.floor(F.log(size) * F.lit(CLASSES / np.log(100 / PERCENT))).cast("int")
 
 
+#: Sets of n and m shingles are linked if they differ in OFF (n + m) / (100 + PERCENT) or less.
+OFF = 100 - PERCENT
+
+
+def _bounded(held: DataFrame) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """held with bounds of the sizes of partners: low and high, and most, which the shingle sets; and classes of sizes."""
+    size = F.col("size")
+    if "apart" not in held.columns:
+        # Sets of n and m shingles that are linked share PERCENT (n + m) / (100 + PERCENT) or more, so at the first
+        # shingle that both hold, each has as many left: a bound of m, besides the one that similarity sets.
+        most = F.floor(F.lit(100 + PERCENT) * (size - F.col("at")) / PERCENT).cast("long") - size
+        return held.withColumns({
+            "low": F.ceil(F.lit(PERCENT) * size / 100), "high": F.least(F.floor(F.lit(100) * size / PERCENT), most), "most": most,
+        }), _size_class
+    # Differences of d and e shingles of sets that are linked share half of d + e - OFF (n + m) / (100 + PERCENT) or
+    # more. The size is (100 + PERCENT) d - OFF n, so that the sum of two is what they must share. As both d and e, and
+    # n and m, are at most OFF n / PERCENT apart, sizes are at most `span` apart.
+    most = 2 * (100 + PERCENT) * (F.col("apart") - F.col("at")) - size
+    span = F.ceil(F.lit((100 + PERCENT + OFF) * OFF) * F.col("n") / PERCENT)
+    width = F.col("around") * ((100 + PERCENT + OFF) * OFF / PERCENT / CLASSES)
+    bounds = {"low": size - span, "high": F.least(size + span, most), "most": most}
+    return held.withColumns(bounds), lambda x: F.floor(x / width).cast("int")
+
+
 def _meeting(held: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, label, size, at, shingle) as the smaller and as the larger one of a pair, by the keys at which pairs
-    meet: shingle, small and large (classes of both sizes), minor_small and minor_large (whether each is of another
+    """Rows (id, label, size, at, shingle and more) as the smaller and as the larger one of a pair, by the keys at which
+    pairs meet: shingle, small and large (classes of both sizes), minor_small and minor_large (whether each is of another
     component than most texts that have the shingle)."""
-    size, left = F.col("size"), F.col("size") - F.col("at")
-    # Sets of n and m shingles that are linked share PERCENT (n + m) / (100 + PERCENT) or more, so at the first
-    # shingle that both hold, each has as many left: a bound of m, besides the one that similarity sets.
-    most = F.floor(F.lit(100 + PERCENT) * left / PERCENT).cast("long") - size
-    bounded = held.withColumns({
-        "low": F.ceil(F.lit(PERCENT) * size / 100), "high": F.least(F.floor(F.lit(100) * size / PERCENT), most), "most": F.least(size, most),
-    }).filter("low <= high")
+    bounded, class_of = _bounded(held)
+    bounded, size = bounded.filter("low <= high"), F.col("size")
     by_label = bounded.groupBy("shingle", "label").agg(F.count("*").alias("n"), F.min("size").alias("s"), F.max("size").alias("t"))
-    shared = by_label.groupBy("shingle").agg(
-        F.max(F.struct("n", "label")).alias("x"), F.min("s").alias("least"), F.max("t").alias("largest"), F.count("*").alias("labels")
+    ranked = by_label.withColumn("i", F.row_number().over(Window.partitionBy("shingle").orderBy(F.desc("n"), F.desc("label"))))
+    rest = lambda x: F.when(F.col("i") > 1, F.col(x))
+    shared = ranked.groupBy("shingle").agg(
+        F.max(F.when(F.col("i") == 1, F.col("label"))).alias("commonest"), F.min("s").alias("least"), F.max("t").alias("largest"),
+        F.min(rest("s")).alias("least_minor"), F.max(rest("t")).alias("largest_minor"), F.count("*").alias("labels"),
     ).filter("labels > 1")
-    minor = (F.col("label") != F.col("x.label")).alias("minor")
-    open_ = bounded.join(shared, "shingle").filter("low <= largest AND high >= least").select(*bounded.columns, minor)
-    row = F.struct("id", "label", "size", "at")
-    own, classes = _size_class(size), lambda a, b: F.explode(F.sequence(_size_class(F.col(a)), _size_class(F.col(b))))
+    minor = F.col("label") != F.col("commonest")
+    met = bounded.join(shared, "shingle").withColumn("minor", minor).filter(
+        "low <= IF(minor, largest, largest_minor) AND high >= IF(minor, least, least_minor)"
+    ).select(*bounded.columns, "minor")
+    row = F.struct(*(x for x in bounded.columns if x in ("id", "label", "component", "n", "size", "most")))
+    own, classes = class_of(size), lambda a, b: F.explode(F.sequence(class_of(F.col(a)), class_of(F.col(b))))
     # Rows of the commonest component at a shingle meet others only; what others meet of their own is less than half
     # of what they must.
-    small = open_.filter("size <= high").select("shingle", "minor", own.alias("small"), classes("size", "high").alias("large"), row.alias("a"))
-    large = open_.filter("low <= most").select("shingle", "minor", classes("low", "most").alias("small"), own.alias("large"), row.alias("b"))
+    small = met.filter("size <= high").select("shingle", "minor", own.alias("small"), classes("size", "high").alias("large"), row.alias("a"))
+    below = met.withColumn("below", F.least("size", "most")).filter("low <= below")
+    large = below.select("shingle", "minor", classes("low", "below").alias("small"), own.alias("large"), row.alias("b"))
     other = F.explode(F.when(F.col("minor"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True))))
     return (
         small.withColumn("minor_large", other).withColumnRenamed("minor", "minor_small"),
@@ -212,23 +267,57 @@ def _meeting(held: DataFrame) -> tuple[DataFrame, DataFrame]:
 _KEY = ["shingle", "small", "large", "minor_small", "minor_large"]
 
 
-def _rest(open_: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts of different components that can still be linked. open_: (id, label)."""
+def _met(held: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows (id, component, n, label, size, at, shingle) that can be linked, of different labels."""
+    small, large = _meeting(held)
+    near = (
+        "a.label <> b.label AND a.component <> b.component AND (a.size < b.size OR a.size = b.size AND a.id < b.id)"
+        f" AND 100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n) AND b.size <= a.most AND a.size <= b.most"
+    )
+    return small.join(large, _KEY).filter(near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+
+
+def _pivots(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, pivot): for each member of a bucket (band, id, size), one that has many links and at most twice or half its
+    size; of those of its buckets, the one that most texts meet; itself if there is none."""
+    ends = links.select(F.col("u").alias("id")).union(links.select("v"))
+    counted = members.join(ends.groupBy("id").agg(F.count("*").alias("links")), "id", "left").fillna(0, "links")
+    first = counted.groupBy("band").agg(F.max(F.struct("links", "id", "size")).alias("x"))
+    met = members.join(first, "band").filter("2 * least(size, x.size) >= greatest(size, x.size)").select("id", F.col("x.id").alias("pivot"))
+    met = met.distinct()
+    ranked = met.join(met.groupBy("pivot").agg(F.count("*").alias("n")), "pivot")
+    found = ranked.groupBy("id").agg(F.max(F.struct("n", "pivot"))["pivot"].alias("pivot"))
+    return members.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("pivot", "id").alias("pivot"))
+
+
+def _rest(members: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts of different components that can still be linked. members: (band, id, size, label) of buckets;
+    links: those that are known."""
     spark = texts.sparkSession
-    own = texts.join(open_.select("id"), "id", "left_semi")
+    open_ = members.select("id", "label").distinct()
+    pivots = stored(_pivots(members, links).join(open_, "id").select("id", "pivot", F.col("label").alias("component")), "pivots")
+    own = texts.join(pivots.select("id"), "id", "left_semi")
     counted = own.select("text").mapInArrow(_counters, "counter long, n long").groupBy("counter").agg(F.sum("n"))
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+    sketch = np.zeros((1 << SKETCH_BITS) + 1, np.int64)
     for counter, n in counted.collect():
         sketch[counter] = n
-    cut = own.mapInArrow(_prefixes(spark.sparkContext.broadcast(sketch)), f"id {_ID}, size long, prefix array<long>")
-    held = cut.join(open_, "id").select("id", "label", "size", F.posexplode("prefix").alias("at", "shingle"))
-    small, large = _meeting(stored(held, "prefixes"))
-    near = (
-        "a.label <> b.label AND (a.size < b.size OR a.size = b.size AND a.id < b.id)"
-        f" AND 100 * a.size >= {PERCENT} * b.size"
-        f" AND {100 + PERCENT} * least(a.size - a.at, b.size - b.at) >= {PERCENT} * (a.size + b.size)"
+    text = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
+    dealt = _dealt(pivots.select(F.col("id").alias("a"), F.col("pivot").alias("b")), AROUND)
+    both = _beside(dealt, text("a"), text("b")).select("a", "b", "text_a", "text_b").sortWithinPartitions("b")
+    cut = both.mapInArrow(_prefixes(spark.sparkContext.broadcast(sketch)), _CUT)
+    cut = stored(cut.join(pivots, "id"), "prefixes")
+    # Sets of one pivot whose differences from it need share nothing are both linked with it.
+    of_pivot = pivots.select(F.col("id").alias("pivot"), F.col("component").alias("other"))
+    to_pivot = cut.filter(f"{100 + PERCENT} * apart <= {OFF} * (n + around)").join(of_pivot, "pivot").filter("component <> other")
+    held = cut.select(
+        "id", "component", "n", F.col("component").alias("label"), "apart", "around",
+        (F.lit(100 + PERCENT) * F.col("apart") - F.lit(OFF) * F.col("n")).alias("size"), "pivot",
+        F.posexplode("differing").alias("at", "shingle"),
+    ).withColumn("shingle", F.xxhash64("pivot", "shingle")).drop("pivot")
+    whole = cut.select(
+        "id", "component", "n", F.col("pivot").alias("label"), F.col("n").alias("size"), F.posexplode("prefix").alias("at", "shingle")
     )
-    return small.join(large, _KEY).filter(near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    return to_pivot.select(F.col("id").alias("a"), F.col("pivot").alias("b")).union(_met(held)).union(_met(whole))
 
 
 def _within(labelled: DataFrame) -> DataFrame:
@@ -275,7 +364,8 @@ def _relabelled(labelled: DataFrame, links: DataFrame) -> DataFrame:
 def _settle(members: DataFrame, hubs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """(u, component) by all links among members of equal buckets. members: (band, id, size); hubs: (band, hub)."""
     met = members.join(hubs, "band").filter(_FITS)
-    found = connected_components(_links(met.select(F.col("id").alias("a"), F.col("hub.id").alias("b")), classes, texts))
+    linked = _links(met.select(F.col("id").alias("a"), F.col("hub.id").alias("b")), classes, texts)
+    found = connected_components(linked)
     labels = found.select(F.col("u").alias("id"), F.col("component").alias("label"))
     labelled = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).select("band", "id", "size", "label")
     labelled, known = stored(labelled, "labelled"), found.select("u", F.col("component").alias("v"))
@@ -283,14 +373,14 @@ def _settle(members: DataFrame, hubs: DataFrame, classes: DataFrame, texts: Data
         links = _links(_outside(labelled, turn), classes, texts)
         before, labelled = labelled, stored(_relabelled(labelled, links), "labelled")
         discard(before)
-        known = known.union(links)
+        known, linked = known.union(links), linked.union(links)
     apart = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"))
     apart = stored(apart.filter("x <> y").select("band", (F.col("n") <= FEW).alias("few")), "apart")
     few = labelled.join(apart.filter("few"), "band", "left_semi")
-    open_ = stored(labelled.join(apart.filter("NOT few"), "band", "left_semi").select("id", "label").distinct(), "open")
+    open_ = stored(labelled.join(apart.filter("NOT few"), "band", "left_semi"), "open")
     pairs = _within(few)
     if open_.head(1):
-        pairs = pairs.union(_rest(open_, texts))
+        pairs = pairs.union(_rest(open_, linked, texts))
     return connected_components(_links(pairs, classes, texts).union(known))
 
 

@@ -124,6 +124,32 @@ def test_pairs_of_a_template_without_a_good_hub(spark, monkeypatch):
     assert compared(spark, monkeypatch, own, LEAST_EQUAL=0, FEW=0)[0] == brute(own)
 
 
+def edited(words, n, rng):
+    """words with n of them replaced, removed or put in."""
+    out = list(words)
+    for _ in range(n):
+        i, own = rng.randrange(len(out)), [f"w{rng.randrange(10**7)}"]
+        out[i : i + 1] = rng.choice([own, [], [*own, out[i]]])
+    return out
+
+
+def test_pairs_of_copies_edited_in_different_places(spark, monkeypatch):
+    # Some are links of the original, most are a little too far from it, and few of those are links of others.
+    base = [f"b{i}" for i in range(150)]
+    texts = lambda n, rng: [(i, " ".join(edited(base, rng.randint(1, 6), rng))) for i in range(n)]
+    few, many = (compared(spark, monkeypatch, texts(n, random.Random(3))) for n in (600, 2400))
+    assert few[0] == brute(texts(600, random.Random(3)))
+    assert many[1] < 6 * few[1] and many[1] < 60 * 2400
+
+
+def test_sets_apart_from_a_pivot(spark, monkeypatch):
+    # The exact stage alone, over originals of several sizes, one of which is a part of another.
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(160)]
+    rows = [(k, " ".join(edited(b, rng.randint(0, 6), rng))) for k, b in enumerate([base, base[:140], base[:100], base + base[3:60]] * 50)]
+    assert compared(spark, monkeypatch, rows, LEAST_EQUAL=0, FEW=0, TURNS=0, AROUND=16)[0] == brute(rows)
+
+
 def test_meeting_rows_of_one_template(spark):
     # Rows of one shingle behind 95 to 134 of their own, each its own component, and one behind 10.
     rows = [((k, 0), (k, 0), 1000 + y, y, 7) for k, y in enumerate([10, *(95 + k % 40 for k in range(5000))])]
