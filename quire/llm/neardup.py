@@ -131,19 +131,14 @@ def _beside(pairs: DataFrame, firsts: DataFrame, others: DataFrame) -> DataFrame
     return joined.join(wanted, ["b", "cells", "cell"])
 
 
-def _dealt(pairs: DataFrame, most: int) -> DataFrame:
-    """pairs (a, b), with `cells` and `cell` for _beside() if there are many of one b."""
-    cells = (1 + F.floor(F.count("*") / most)).alias("cells")
-    crowded = pairs.groupBy("b").agg(cells).filter("cells > 1")
-    if not crowded.head(1):
-        return pairs
-    return pairs.join(crowded, "b", "left").fillna(1, "cells").withColumn("cell", F.pmod(F.xxhash64("a"), F.col("cells")))
-
-
 def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Which candidate pairs (a, b) are links (u, v), as a table: signatures first, then full sets."""
     pairs = stored(pairs.distinct(), "pairs")
-    dealt = _dealt(pairs, CELL)
+    dealt, cells = pairs, (1 + F.floor(F.count("*") / CELL)).alias("cells")
+    crowded = pairs.groupBy("b").agg(cells).filter("cells > 1")
+    if crowded.head(1):
+        cell = F.pmod(F.xxhash64("a"), F.col("cells"))
+        dealt = pairs.join(crowded, "b", "left").fillna(1, "cells").withColumn("cell", cell)
     side = lambda x: classes.select(F.col("id").alias(x), F.col("signature").alias(f"s_{x}"))
     text = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
     equal = F.size(F.filter(F.zip_with("s_a", "s_b", lambda x, y: x == y), lambda x: x))
@@ -278,16 +273,17 @@ def _met(held: DataFrame) -> DataFrame:
 
 
 def _pivots(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, pivot): for each member of a bucket (band, id, size), one that has many links and at most twice or half its
-    size; of those of its buckets, the one that most texts meet; itself if there is none."""
+    """(id, pivot, n): for each member of a bucket (band, id, size), one that has many links and at most twice or half its
+    size; of those of its buckets, the one that most texts, n, meet; itself if there is none."""
     ends = links.select(F.col("u").alias("id")).union(links.select("v"))
     counted = members.join(ends.groupBy("id").agg(F.count("*").alias("links")), "id", "left").fillna(0, "links")
     first = counted.groupBy("band").agg(F.max(F.struct("links", "id", "size")).alias("x"))
     met = members.join(first, "band").filter("2 * least(size, x.size) >= greatest(size, x.size)").select("id", F.col("x.id").alias("pivot"))
     met = met.distinct()
     ranked = met.join(met.groupBy("pivot").agg(F.count("*").alias("n")), "pivot")
-    found = ranked.groupBy("id").agg(F.max(F.struct("n", "pivot"))["pivot"].alias("pivot"))
-    return members.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("pivot", "id").alias("pivot"))
+    found = ranked.groupBy("id").agg(F.max(F.struct("n", "pivot")).alias("x"))
+    every = members.select("id").distinct().join(found, "id", "left")
+    return every.select("id", F.coalesce("x.pivot", "id").alias("pivot"), F.coalesce("x.n", F.lit(1)).alias("n"))
 
 
 def _rest(members: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
@@ -295,17 +291,18 @@ def _rest(members: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
     links: those that are known."""
     spark = texts.sparkSession
     open_ = members.select("id", "label").distinct()
-    pivots = stored(_pivots(members, links).join(open_, "id").select("id", "pivot", F.col("label").alias("component")), "pivots")
+    pivots = stored(_pivots(members, links).join(open_, "id").withColumnRenamed("label", "component"), "pivots")
     own = texts.join(pivots.select("id"), "id", "left_semi")
     counted = own.select("text").mapInArrow(_counters, "counter long, n long").groupBy("counter").agg(F.sum("n"))
     sketch = np.zeros((1 << SKETCH_BITS) + 1, np.int64)
-    for counter, n in counted.collect():
-        sketch[counter] = n
+    counters, totals = (x.to_numpy() for x in counted.toArrow().columns)
+    sketch[counters] = totals
     text = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
-    dealt = _dealt(pivots.select(F.col("id").alias("a"), F.col("pivot").alias("b")), AROUND)
+    dealt = pivots.select(F.col("id").alias("a"), F.col("pivot").alias("b"), (1 + F.floor(F.col("n") / AROUND)).alias("cells"))
+    dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("a"), F.col("cells")))
     both = _beside(dealt, text("a"), text("b")).select("a", "b", "text_a", "text_b").sortWithinPartitions("b")
     cut = both.mapInArrow(_prefixes(spark.sparkContext.broadcast(sketch)), _CUT)
-    cut = stored(cut.join(pivots, "id"), "prefixes")
+    cut = stored(cut.join(pivots.drop("n"), "id"), "prefixes")
     # Sets of one pivot whose differences from it need share nothing are both linked with it.
     of_pivot = pivots.select(F.col("id").alias("pivot"), F.col("component").alias("other"))
     to_pivot = cut.filter(f"{100 + PERCENT} * apart <= {OFF} * (n + around)").join(of_pivot, "pivot").filter("component <> other")
@@ -317,7 +314,9 @@ def _rest(members: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
     whole = cut.select(
         "id", "component", "n", F.col("pivot").alias("label"), F.col("n").alias("size"), F.posexplode("prefix").alias("at", "shingle")
     )
-    return to_pivot.select(F.col("id").alias("a"), F.col("pivot").alias("b")).union(_met(held)).union(_met(whole))
+    # One after the other, as the driver holds all stages of a query at once.
+    found = stored(to_pivot.select(F.col("id").alias("a"), F.col("pivot").alias("b")), "to_pivot")
+    return found.union(stored(_met(held), "held")).union(stored(_met(whole), "whole"))
 
 
 def _within(labelled: DataFrame) -> DataFrame:
